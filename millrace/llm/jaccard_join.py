@@ -120,9 +120,9 @@ def _group_rows(table: DataFrame) -> DataFrame:
             if len(batch):
                 sizes = batch["prefix"].map(len).to_numpy()
                 tokens = np.concatenate(batch["prefix"].to_numpy()).view(np.uint64)
-                yield block_rows(tokens, np.repeat(batch["grp"].to_numpy(), sizes), np.zeros(len(tokens), np.int32))
+                yield block_rows(tokens, np.repeat(batch["grp"].to_numpy(), sizes), np.zeros(len(tokens), np.int64), tokens)
 
-    return table.where("prefix is not null").select("grp", "prefix").mapInPandas(rows, "slot long, key long, a long, b int, known boolean")
+    return table.where("prefix is not null").select("grp", "prefix").mapInPandas(rows, "slot long, key long, a long, b long, known boolean")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, den: int, k: int) -> DataFrame:

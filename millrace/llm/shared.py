@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -127,59 +128,76 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def held_twice(rows: DataFrame) -> DataFrame:
-    """Of rows (slot long, key long, a long, b int, known boolean), those whose key two different (a, b) hold.
+def held_twice(rows: DataFrame, once: bool = False) -> DataFrame:
+    """Of rows (slot long, key long, a long, b long, known boolean), those whose key two different (a, b) hold.
 
-    Blocks made by block_rows() have found the keys that are repeated within them: these rows are known, and
-    are dealt out by a number of their own; only one row a key and block comes here by its key. So the rows of
-    a key that meet in one task are as many as there are blocks, however many rows hold the key. Rows are
-    compared with their neighbours in sorted order, one batch at a time. Each (key, a, b) comes out once
-    for each block at most.
+    once: the others. Blocks made by block_rows() have found the keys that are repeated within them: these rows
+    are known, and are dealt out by a number of their own (with once they stay away); only one row a key and
+    block comes here by its key. So the rows of a key that meet in one task are as many as there are blocks,
+    however many rows hold the key. Rows are compared with their neighbours in sorted order, one batch at a time.
+    Rows with equal slot and key have the same key; where rows have no column key, slot alone decides.
     """
-    dealt = rows.repartition("slot").sortWithinPartitions("slot", "key")
+    by = [c for c in ("slot", "key") if c in rows.columns]
+    out = [c for c in ("key", "a", "b") if c in rows.columns]
+    dealt = rows.repartition("slot").sortWithinPartitions(*by)
+
+    def pick(batch: pd.DataFrame, edge: np.ndarray) -> pd.DataFrame:
+        a, b, known = (batch[c].to_numpy() for c in ("a", "b", "known"))
+        first = np.concatenate([[0], np.flatnonzero(edge) + 1])
+        run = np.concatenate([[0], np.cumsum(edge)])
+        held = np.logical_or.reduceat((a != a[first][run]) | (b != b[first][run]) | known, first)[run]
+        return batch.loc[held != once, out]
 
     def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tail = None
         for batch in batches:
+            if not len(batch):
+                continue
             if tail is not None:
                 batch = pd.concat([tail, batch], ignore_index=True)
-            slot, key = batch["slot"].to_numpy(), batch["key"].to_numpy()
-            if not len(slot):
-                continue
-            same = (slot == slot[-1]) & (key == key[-1])
-            cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+            edge = np.logical_or.reduce([(v := batch[c].to_numpy())[1:] != v[:-1] for c in by])
+            cuts = np.flatnonzero(edge)
+            cut = int(cuts[-1]) + 1 if len(cuts) else 0
             tail = batch.iloc[cut:]
             if cut:
-                yield _repeated(batch.iloc[:cut])
-        if tail is not None and len(tail):
-            yield _repeated(tail)
-
-    return dealt.mapInPandas(neighbours, "key long, a long, b int")
-
-
-def _repeated(batch: pd.DataFrame) -> pd.DataFrame:
-    slot, key, a, b, known = (batch[c].to_numpy() for c in ("slot", "key", "a", "b", "known"))
-    run = np.concatenate([[0], np.cumsum((slot[1:] != slot[:-1]) | (key[1:] != key[:-1]))])
-    first = np.concatenate([[0], np.flatnonzero(run[1:] != run[:-1]) + 1])
-    other = (a != a[first][run]) | (b != b[first][run])
-    keep = np.logical_or.reduceat(other | known, first)[run]
-    return batch.loc[keep, ["key", "a", "b"]]
-
-
-def block_rows(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-    """Rows of one block for held_twice(): of each key repeated here, one row goes by its key, the rest by themselves."""
-    order = np.lexsort((b, a, key))
-    key, a, b = key[order], a[order], b[order]
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    key, a, b = key[fresh], a[fresh], b[fresh]
-    lead = np.ones(len(key), bool)
-    lead[1:] = key[1:] != key[:-1]
+                yield pick(batch.iloc[:cut], edge[: cut - 1])
+        if tail is not None:
+            yield pick(tail, np.zeros(len(tail) - 1, bool))
+
+    return dealt.mapInPandas(neighbours, ", ".join(f"{c} long" for c in out))
+
+
+def block_rows(slot: np.ndarray, a: np.ndarray, b: np.ndarray, key: np.ndarray | None = None, once: bool = False, dedupe: bool = False) -> pd.DataFrame:
+    """Rows of one block for held_twice(): of each key repeated here, one row goes by its key, the rest by themselves.
+
+    key: further bits of the key, or None. Rows of equal (slot, key) are known to each other if their (a, b) differ.
+    once, dedupe: the rest stays away.
+    """
+    order = np.argsort(slot, kind="stable") if key is None else np.lexsort((key, slot))
+    cols = {"slot": slot[order], **({} if key is None else {"key": key[order]}), "a": a[order].astype(np.int64), "b": b[order].astype(np.int64)}
+    lead = np.ones(len(order), bool)
+    if len(order):
+        lead[1:] = np.logical_or.reduce([cols[c][1:] != cols[c][:-1] for c in ("slot", "key") if c in cols])
+    fresh = lead.copy()
+    for c in ("a", "b"):
+        fresh[1:] |= cols[c][1:] != cols[c][:-1]
+    cols = {c: v[fresh] for c, v in cols.items()}
+    lead = lead[fresh]
     known = ~lead
     known[:-1] |= ~lead[1:]
-    own = mix(a.astype(np.uint64) * _WORD + b.astype(np.uint64) + np.uint64(77)).view(np.int64)
-    key = key.view(np.int64)
-    return pd.DataFrame({"slot": np.where(lead, key, own), "key": key, "a": a.astype(np.int64), "b": b.astype(np.int32), "known": known})
+    own = mix(cols["a"].view(np.uint64) * _WORD + cols["b"].view(np.uint64) + np.uint64(77))
+    cols["slot"] = np.where(lead, cols["slot"], own)
+    cols = {c: v.view(np.int64) if v.dtype == np.uint64 else v for c, v in cols.items()} | {"known": known}
+    keep = lead if once or dedupe else np.ones(len(lead), bool)
+    cols = {c: v[keep] for c, v in cols.items()}
+    back = np.argsort(cols["a"], kind="stable")  # rows of one text together: they compress
+    return pd.DataFrame({c: v[back] for c, v in cols.items()})
+
+
+def free(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of steps whose results are written: it does so when their handles are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def one_name(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
