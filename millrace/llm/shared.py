@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -196,8 +197,10 @@ def block_rows(slot: np.ndarray, a: np.ndarray, b: np.ndarray, key: np.ndarray |
 
 def free(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of steps whose results are written: it does so when their handles are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def one_name(df: DataFrame, wanted: dict[str, str]) -> DataFrame:

@@ -166,12 +166,12 @@ def _repeated_tuples(docs: DataFrame, length: int) -> DataFrame:
         return _blocks(named())
 
     rows = docs.select("tid", "text").mapInPandas(tuples, "slot long, a long, b long, known boolean")
-    return held_twice(rows).groupBy(F.col("a").alias("tid")).agg(F.collect_set("b").alias("at"))
+    return scratch(held_twice(rows).groupBy(F.col("a").alias("tid")).agg(F.collect_set("b").alias("at")), "tuples")
 
 
-def _narrow(docs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+def _narrow(docs: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
     """(rep, tid, text, at) of the texts that have a repeated tuple."""
-    found = _repeated_tuples(docs, length).join(texts.select("tid", F.col("rep").alias("doc_id")), "tid")
+    found = found.join(texts.select("tid", F.col("rep").alias("doc_id")), "tid")
     same = docs.doc_id.eqNullSafe(found.doc_id) & (docs.tid == found.tid)
     joined = docs.join(found, same).select(docs.doc_id.alias("rep"), docs.tid, F.col("text").cast("binary").alias("text"), "at")
     return scratch(joined.dropDuplicates(["rep", "tid"]), "narrow")
@@ -229,7 +229,10 @@ def repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     docs = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("tid", F.xxhash64("text"))
     ids = scratch(docs.select("doc_id", "tid", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "ids")
     texts = ids.groupBy("tid", "sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes"))
-    narrow = _narrow(docs.where(F.octet_length("text") >= length), texts.where(F.col("n_bytes") >= length), length)
+    long = docs.where(F.octet_length("text") >= length)
+    found = _repeated_tuples(long, length)
+    free(docs.sparkSession)
+    narrow = _narrow(long, texts.where(F.col("n_bytes") >= length), found)
     free(docs.sparkSession)
     judged = _judged(narrow, length)
     free(docs.sparkSession)
