@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -37,35 +38,69 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit numbers. This tokenizer drops white space and never joins over it,
-    so a text's ids are those of its words in turn, and a word is encoded once as long as it is remembered."""
+    """Ids of texts as little-endian 32-bit numbers.
+
+    This tokenizer lower-cases, drops white space and never joins over it, so a text's ids are those of its words in turn,
+    and a word is encoded once as long as it is remembered. Letters and the punctuation behind them go apart in it too;
+    words of letters alone are encoded many at a time, as the last id of each ends a word.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.words) > REMEMBERED:
+        # left to the tokenizer: letters whose lower case depends on others or is two characters, and controls that
+        # str.split() takes for white space
+        split = []
+        for t in texts:
+            t = "" if t is None or t != t else t
+            if any(c in t for c in "\x1c\x1d\x1e\x1f"):
+                split.append([t])
+            else:
+                split.append((t if "\u03a3" in t or "\u0130" in t else t.lower()).split())
+        new = set(chain.from_iterable(split)).difference(self.words)
+        if len(self.words) + len(new) > REMEMBERED:
             self.words.clear()
-        split = [("" if t is None or t != t else t).split() for t in texts]
-        words = self.words
-        new = list(dict.fromkeys(w for ws in split for w in ws if w not in words))
-        # many words in one call, each followed by a mark that is one id and, as the words with it go apart, no other's
-        mark = np.array(self.tokenizer.encode("0", add_special_tokens=False).ids, "<u4")
-        plain = [w for w in new if "0" not in w and "<" not in w and (w.isascii() or w.isalpha())]
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(" 0 ".join(part) + " 0", add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(ids == mark[0]) if len(mark) == 1 else np.zeros(0, np.int64)
-            if len(ends) == len(part):
-                starts = np.concatenate([[0], ends[:-1] + 1])
-                words.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, starts, ends, strict=True))
-        rest = [w for w in new if w not in words]
-        if rest:
-            words.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(rest, add_special_tokens=False)), strict=True))
-        return [b"".join(map(words.__getitem__, ws)) for ws in split]
+            self.cores.clear()
+            new = set(chain.from_iterable(split))
+        plain, cores, tails, other = [], [], [], []
+        for w in new:
+            c = w.rstrip(".,;:!?")
+            if c.isalpha() and "\u03a3" not in c and "\u0130" not in c:
+                plain.append(w)
+                cores.append(c)
+                tails.append(w[len(c) :])
+            else:
+                other.append(w)
+        own = self.cores
+        self._letters(list(set(cores).difference(own)))
+        self._alone(list(set(tails).difference(own)), own)
+        self.words.update(zip(plain, (own[c] + own[t] if t else own[c] for c, t in zip(cores, tails, strict=True)), strict=True))
+        self._alone(other, self.words)
+        return [b"".join(map(self.words.__getitem__, ws)) for ws in split]
+
+    def _letters(self, cores: list[str]) -> None:
+        for i in range(0, len(cores), 4000):
+            part = cores[i : i + 4000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):
+                self._alone(part, self.cores)
+                continue
+            raw, at = ids.tobytes(), 0
+            for w, e in zip(part, (ends * 4).tolist(), strict=True):
+                self.cores[w] = raw[at:e]
+                at = e
+
+    def _alone(self, words: list[str], to: dict[str, bytes]) -> None:
+        if words:
+            to.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True))
 
 
 def encoder(path: str) -> Encoder:
