@@ -112,9 +112,9 @@ def classify(log: DataFrame, spec: TableSpec, source_schema: str | None = None)
     return d.withColumn("reason", reason).withColumn("kind", kind).drop("_row", "_bad", "_old", "_bad_old", "_key")
 
 
-def violations(checks: dict[str, Column]) -> Column:
-    """Names of the checks that a row breaks; null counts as kept."""
-    return F.filter(F.array(*[F.when(~c, F.lit(n)) for n, c in checks.items()]), lambda x: x.isNotNull()) if checks else F.array().cast("array<string>")
+def violations(checks: dict[str, str]) -> Column:
+    """Names of the checks (SQL conditions) that a row breaks; null counts as kept."""
+    return F.filter(F.array(*[F.when(~F.expr(c), F.lit(n)) for n, c in checks.items()]), lambda x: x.isNotNull()) if checks else F.array().cast("array<string>")
 
 
 def fold(changes: DataFrame, stored: DataFrame, spec: TableSpec) -> DataFrame:

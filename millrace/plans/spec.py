@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
 from pyspark.sql.types import ArrayType, DataType, DateType, DayTimeIntervalType, IntegralType, StructType, TimestampNTZType, TimestampType
 
 
@@ -21,7 +20,10 @@ class Relation:
 
 @dataclass(frozen=True)
 class TableSpec:
-    """A table with one key column. kinds: column -> instant, date, timestamptz or clock, where its type doesn't tell."""
+    """A table with one key column. kinds: column -> instant, date, timestamptz or clock, where its type doesn't tell.
+
+    checks: name -> SQL condition that rows keep.
+    """
 
     name: str
     id_col: str
@@ -30,7 +32,7 @@ class TableSpec:
     default_sort: tuple[tuple[str, str], ...] = (("updated_at", "desc"),)
     kinds: dict[str, str] = field(default_factory=dict)
     relations: tuple[Relation, ...] = ()
-    checks: dict[str, Column] = field(default_factory=dict)
+    checks: dict[str, str] = field(default_factory=dict)
 
     def kind(self, column: str, of: DataType) -> str | None:
         if column in self.kinds:

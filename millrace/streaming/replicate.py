@@ -40,7 +40,7 @@ def apply_batch(batch: DataFrame, batch_id: int | None, store: VersionedStore, s
             state = state.unionByName(old.join(state, "row_key", "left_anti"))
         positions = cdc.advance(batch, checkpoints)
         store.commit({"data": cdc.apply_rows(rows, result, spec), "checkpoints": positions, "state": state}, batch_id)
-        return judged.agg(F.count("*").alias("records"), F.count_if("kind = 'change' and reason is null").alias("applied"), F.count_if("reason is not null").alias("dead_lettered"), F.count_if("kind = 'tombstone'").alias("tombstones"))
+        return judged.agg(F.count("*").alias("records"), F.count_if(F.expr("kind = 'change' and reason is null")).alias("applied"), F.count_if(F.expr("reason is not null")).alias("dead_lettered"), F.count_if(F.expr("kind = 'tombstone'")).alias("tombstones"))
     finally:
         fresh.unpersist()
 
