@@ -10,9 +10,9 @@ that very many documents hold last and is by hash otherwise; which those are onl
 2. Prefix shingles that two groups hold make group pairs; they are expanded to the classes of each group.
 3. Of the classes of a shingle, each is first held against one leader (linear, not all pairs), filtered by size
    and by the parity bitmaps' lower bound of the symmetric difference, and verified on the sets themselves.
-   Only classes of a shingle that are not connected by then are compared with one another: all pairs in groups of
-   at most SMALL, by further leaders in larger ones, where the triangle inequality of Jaccard distance
-   releases classes that no one outside their component can link to. No link between components is lost.
+   A group that isn't one component by then goes on: classes outside its largest component are held against
+   those of all other components, all at once in groups of SMALL, LEADERS a round in larger ones, until nothing is
+   left outside. No link between components is lost.
 
 Shingles are 64-bit hashes. Nulls, empty texts: no shingles, no links. Rows with equal doc_id are held as one
 document each; they share a component only if they link (rows with a null doc_id are left out of links).
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components
@@ -32,6 +33,8 @@ from millrace.llm.shared import as_bytes, block_rows, chunks, held_twice, mix, o
 
 #: Largest group whose unconnected classes are compared all with all.
 SMALL = 256
+#: Classes of a larger group that are held against all others in one round.
+LEADERS = 16
 #: A shingle that so many documents hold goes to the end of the order, if it is one of the MOST commonest.
 COMMON, MOST = 16, 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -155,6 +158,17 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, d
     return sure.union(filtered.where("not may").select("lead", "gid", F.lit(1.0), F.lit(False)))
 
 
+def _leaders(active: DataFrame) -> DataFrame:
+    """Of each shingle's classes outside its largest component, those to hold against all others next: all in a group
+    of SMALL classes, LEADERS in a larger one. Once none is left outside, the group is connected or fully compared."""
+    sizes = active.groupBy("key", "component").agg(F.count("*").alias("c"))
+    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("all"))
+    outside = active.join(largest, "key").where("component <> main")
+    turn = F.row_number().over(W.partitionBy("key").orderBy("gid"))
+    chosen = outside.withColumn("turn", turn).where((F.col("all") <= SMALL) | (F.col("turn") <= LEADERS))
+    return chosen.select("key", F.col("gid").alias("lead"), F.col("n").alias("lead_n"), F.col("component").alias("lead_component"))
+
+
 def links(docs: DataFrame, num: int = 75, den: int = 100, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """docs(doc_id, text) -> (one row a document: doc_id, n, gid of its class; links between classes: a, b, apart)."""
     docs = docs.where("doc_id is not null")
@@ -164,37 +178,24 @@ def links(docs: DataFrame, num: int = 75, den: int = 100, k: int = 5) -> tuple[D
     across = held_twice(_group_rows(table)).select("key", F.col("a").alias("grp")).distinct().join(by_group, "grp")
     several = classes.groupBy("grp").agg(F.count("*").alias("c")).where("c > 1").select("grp")
     within = by_group.join(several, "grp").select("grp", F.xxhash64("grp", F.lit("group")).alias("key"), "gid", "n")
-    active = scratch(across.select("key", "gid", "n").union(within.select("key", "gid", "n")), "active")
-    fits = lambda x, y: (F.col(x) * den >= F.col(y) * num) & (F.col(y) * den >= F.col(x) * num)
+    active = scratch(across.select("key", "gid", "n").union(within.select("key", "gid", "n")).withColumn("component", F.col("gid")), "active")
+    fits = (F.col("n") * den >= F.col("lead_n") * num) & (F.col("lead_n") * den >= F.col("n") * num)
     checked = None
-    turn = 0
     while not active.isEmpty():
-        lead = active.groupBy("key").agg(F.min("gid").alias("lead"), F.min_by("n", "gid").alias("lead_n"), F.count("*").alias("c"))
-        small = (F.col("c") <= SMALL) & F.lit(turn > 0)
-        led = active.join(lead, "key")
-        pairs = led.where(~small & (F.col("gid") != F.col("lead")) & fits("n", "lead_n")).select("lead", "gid")
-        if turn:
-            few = led.where(small).select("key", "gid", "n", "component")
-            other = few.select("key", F.col("gid").alias("lead"), F.col("n").alias("lead_n"), F.col("component").alias("lead_component"))
-            pairs = pairs.union(few.join(other, "key").where((F.col("lead") < F.col("gid")) & (F.col("component") != F.col("lead_component")) & fits("n", "lead_n")).select("lead", "gid"))
-        pairs = pairs.distinct()
+        if checked is None:
+            leaders = active.groupBy("key").agg(F.min("gid").alias("lead"), F.min_by("n", "gid").alias("lead_n"), F.min("gid").alias("lead_component"))
+        else:
+            leaders = scratch(_leaders(active), "leaders")
+        pairs = active.join(leaders, "key").where((F.col("component") != F.col("lead_component")) & fits).select(F.least("lead", "gid").alias("lead"), F.greatest("lead", "gid").alias("gid")).distinct()
         pairs = pairs.join(checked, ["lead", "gid"], "left_anti") if checked else pairs
         now = _verified(scratch(pairs, "candidates"), classes, docs, num, den, k)
         checked = scratch(checked.union(now) if checked else now, "checked")
         label = components(checked.where("linked").select(F.col("lead").alias("a"), F.col("gid").alias("b")))
         label = label.select(F.col("node").alias("gid"), F.col("component").alias("of"))
-        rest = led.where(~small).select("key", "gid", "n", "lead", "lead_n").join(label, "gid", "left").withColumn("component", F.coalesce("of", "gid"))
-        rest = rest.join(label.toDF("lead", "lead_of"), "lead", "left").withColumn("lead_component", F.coalesce("lead_of", "lead"))
-        rest = rest.where("gid != lead").join(checked.select("lead", "gid", "apart"), ["lead", "gid"], "left")
-        size_bound = 1 - F.least("n", "lead_n") / F.greatest("n", "lead_n")
-        rest = rest.withColumn("apart", F.coalesce("apart", size_bound))
-        ring = rest.groupBy("key").agg(F.min(F.when(F.col("component") != F.col("lead_component"), F.col("apart"))).alias("ring"), F.min("component").alias("c1"), F.max("component").alias("c2"))
-        open_ = rest.join(ring.where("c1 != c2"), "key")
-        limit = (den - num) / den
-        # a class of the leader's component, so near to the leader that no other class can be within reach of it
-        released = (F.col("component") == F.col("lead_component")) & (F.col("ring") - F.col("apart") > limit + 1e-9) & (F.col("apart") <= limit)
-        active = scratch(open_.where(~F.coalesce(released, F.lit(False))).select("key", "gid", "n", "component"), "active")
-        turn += 1
+        done = leaders.select("key", F.col("lead").alias("gid"))
+        rest = active.join(done, ["key", "gid"], "left_anti").join(label, "gid", "left").select("key", "gid", "n", F.coalesce("of", "gid").alias("component"))
+        apart = rest.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
+        active = scratch(rest.join(apart, "key"), "active")
     empty = docs.sparkSession.createDataFrame([], "a long, b long, apart double")
     found = checked.where("linked").select(F.col("lead").alias("a"), F.col("gid").alias("b"), "apart") if checked else empty
     of = classes.select("d1", "d2", "n", "gid")
