@@ -34,7 +34,7 @@ from millrace.llm.shared import as_bytes, block_rows, chunks, held_twice, mix, o
 #: Largest group whose unconnected classes are compared all with all.
 SMALL = 256
 #: Classes of a larger group that are held against all others in one round.
-LEADERS = 16
+LEADERS = 256
 #: A shingle that so many documents hold goes to the end of the order, if it is one of the MOST commonest.
 COMMON, MOST = 16, 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
