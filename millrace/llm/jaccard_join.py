@@ -8,11 +8,13 @@ that very many documents hold last and is by hash otherwise; which those are onl
    (size, prefix) that names its group, a parity bitmap, and its prefix. Documents with one set are one class;
    documents with identical prefix and size are one group, and a task sends a group's prefix on once.
 2. Prefix shingles that two groups hold make group pairs; they are expanded to the classes of each group.
-3. Of the classes of a shingle, each is first held against one leader (linear, not all pairs), filtered by size
-   and by the parity bitmaps' lower bound of the symmetric difference, and verified on the sets themselves.
+   A shingle's positions in two sets bound what they share if it is the first that they share: other pairs are
+   left to that first one. A short parity sketch rules out most of what is left before a pair is made.
+3. Of the classes of a shingle, each is first held against one leader (linear, not all pairs), filtered by
+   the parity bitmaps' lower bound of the symmetric difference, and verified on the sets themselves.
    A group that isn't one component by then goes on: classes outside its largest component are held against
-   those of all other components, all at once in groups of SMALL, LEADERS a round in larger ones, until nothing is
-   left outside. No link between components is lost.
+   those of all other components, all at once in groups of SMALL, in larger ones LEADERS and then four times as many
+   a round, until nothing is left outside. No link between components is lost.
 
 Shingles are 64-bit hashes. Nulls, empty texts: no shingles, no links. Rows with equal doc_id are held as one
 document each; they share a component only if they link (rows with a null doc_id are left out of links).
@@ -24,8 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components
@@ -33,8 +34,10 @@ from millrace.llm.shared import as_bytes, block_rows, chunks, held_twice, mix, o
 
 #: Largest group whose unconnected classes are compared all with all.
 SMALL = 256
-#: Classes of a larger group that are held against all others in one round.
-LEADERS = 256
+#: About so many classes of a larger group are held against all others in the first such round.
+LEADERS = 1024
+#: 64-bit words of the parity sketch that every class of a shingle carries.
+SKETCH = [f"s{i}" for i in range(4)]
 #: A shingle that so many documents hold goes to the end of the order, if it is one of the MOST commonest.
 COMMON, MOST = 16, 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -78,7 +81,7 @@ def _apart(x: bytes, y: bytes) -> int:
 
 
 def reduced(docs: DataFrame, common: np.ndarray, num: int, den: int, k: int) -> DataFrame:
-    """(doc_id, n, d1, d2, grp, parity, prefix): prefix is null where the task has sent on that of the group before."""
+    """(doc_id, n, d1, d2, grp, parity, prefix, SKETCH): prefix is null where the task has sent on that of the group before."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,7 +93,7 @@ def reduced(docs: DataFrame, common: np.ndarray, num: int, den: int, k: int) ->
                 n = np.bincount(of, minlength=j - i)
                 out = {"doc_id": ids.iloc[i:j].to_numpy(), "n": n.astype(np.int32)}
                 d1, d2, grp = (np.zeros(j - i, np.uint64) for _ in range(3))
-                parity, prefix = [None] * (j - i), [None] * (j - i)
+                parity, prefix, sketch = [None] * (j - i), [None] * (j - i), np.zeros((j - i, len(SKETCH)), np.int64)
                 some = np.flatnonzero(n)
                 if len(some):
                     first = (np.cumsum(n) - n)[some]
@@ -106,14 +109,17 @@ def reduced(docs: DataFrame, common: np.ndarray, num: int, den: int, k: int) ->
                     tokens = h[order][taken]
                     at = np.cumsum(keep[some]) - keep[some]
                     grp[some] = mix(np.add.reduceat(mix(tokens + np.uint64(5)), at) + n[some].astype(np.uint64) * _ODD)
+                    odd = np.bincount(of * 64 * len(SKETCH) + (h % np.uint64(64 * len(SKETCH))).astype(np.int64), minlength=64 * len(SKETCH) * (j - i)) & 1
+                    sketch = np.packbits(odd.astype(np.uint8).reshape(j - i, -1), axis=1).view(np.int64)
                     for d, f, a in zip(some, first, at, strict=True):
                         parity[d] = _parity(h[f : f + n[d]])
                         if (g := int(grp[d])) not in sent:
                             sent.add(g)
                             prefix[d] = tokens[a : a + keep[d]].view(np.int64)
-                yield pd.DataFrame(out | {"d1": d1.view(np.int64), "d2": d2.view(np.int64), "grp": grp.view(np.int64), "parity": parity, "prefix": prefix})
+                yield pd.DataFrame(out | {"d1": d1.view(np.int64), "d2": d2.view(np.int64), "grp": grp.view(np.int64), "parity": parity, "prefix": prefix} | dict(zip(SKETCH, sketch.T, strict=True)))
 
-    return docs.mapInPandas(reduce, "doc_id long, n int, d1 long, d2 long, grp long, parity binary, prefix array<long>")
+    words = ", ".join(f"{c} long" for c in SKETCH)
+    return docs.mapInPandas(reduce, f"doc_id long, n int, d1 long, d2 long, grp long, parity binary, prefix array<long>, {words}")
 
 
 def _group_rows(table: DataFrame) -> DataFrame:
@@ -122,7 +128,8 @@ def _group_rows(table: DataFrame) -> DataFrame:
             if len(batch):
                 sizes = batch["prefix"].map(len).to_numpy()
                 tokens = np.concatenate(batch["prefix"].to_numpy()).view(np.uint64)
-                yield block_rows(tokens, np.repeat(batch["grp"].to_numpy(), sizes), np.zeros(len(tokens), np.int64), tokens)
+                at = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                yield block_rows(tokens, np.repeat(batch["grp"].to_numpy(), sizes), at, tokens)
 
     return table.where("prefix is not null").select("grp", "prefix").mapInPandas(rows, "slot long, key long, a long, b long, known boolean")
 
@@ -158,48 +165,72 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, d
     return sure.union(filtered.where("not may").select("lead", "gid", F.lit(1.0), F.lit(False)))
 
 
-def _leaders(active: DataFrame) -> DataFrame:
-    """Of each shingle's classes outside its largest component, those to hold against all others next: all in a group
-    of SMALL classes, LEADERS in a larger one. Once none is left outside, the group is connected or fully compared."""
+def _outside(active: DataFrame) -> DataFrame:
+    """The classes that aren't in the largest component (main, of c classes) of a shingle's (all classes, away outside)."""
     sizes = active.groupBy("key", "component").agg(F.count("*").alias("c"))
-    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("all"))
-    outside = active.join(largest, "key").where("component <> main")
-    turn = F.row_number().over(W.partitionBy("key").orderBy("gid"))
-    chosen = outside.withColumn("turn", turn).where((F.col("all") <= SMALL) | (F.col("turn") <= LEADERS))
-    return chosen.select("key", F.col("gid").alias("lead"), F.col("n").alias("lead_n"), F.col("component").alias("lead_component"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("all"))
+    largest = largest.select("key", "m.c", F.col("m.component").alias("main"), "all", (F.col("all") - F.col("m.c")).alias("away"))
+    return active.join(largest, "key").where("component <> main")
+
+
+def _as_leads(rows: DataFrame) -> DataFrame:
+    return rows.select("key", F.col("gid").alias("lead"), *[F.col(c).alias(f"lead_{c}") for c in ("n", "pos", "component", *SKETCH)])
 
 
-def links(docs: DataFrame, num: int = 75, den: int = 100, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """docs(doc_id, text) -> (one row a document: doc_id, n, gid of its class; links between classes: a, b, apart)."""
+def _fits(num: int, den: int) -> Column:
+    """Whether a class and a lead may link: den * shared >= num * (n + m - shared), so shared is at least
+    (n + m) * num / (num + den). It is at most what either has from this shingle on, and n + m - 2 * shared is at least
+    the number of bits in which the sketches differ."""
+    total = (F.col("n") + F.col("lead_n")).cast("long")
+    most = F.least(F.col("n") - F.col("pos"), F.col("lead_n") - F.col("lead_pos")).cast("long")
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"lead_{c}"))) for c in SKETCH[1:]), F.bit_count(F.col(SKETCH[0]).bitwiseXOR(F.col(f"lead_{SKETCH[0]}"))))
+    return (most * (num + den) >= total * num) & ((total - apart) * (num + den) >= total * 2 * num)
+
+
+def _leaders(active: DataFrame, leaders: int) -> DataFrame:
+    """Of each shingle's classes outside its largest component, those to hold against all others next: all in a group
+    of SMALL classes, about as many as leaders says in a larger one, taken by hash. Once none is left outside, the group
+    is connected or fully compared."""
+    outside = _outside(active)
+    least = outside.groupBy("key").agg(F.min("gid").alias("least"))
+    drawn = F.pmod(F.xxhash64("gid", "key"), F.col("away")) < leaders
+    chosen = outside.join(least, "key").where((F.col("all") <= SMALL) | drawn | (F.col("gid") == F.col("least")))
+    return _as_leads(chosen)
+
+
+def links(docs: DataFrame, num: int = 75, den: int = 100, k: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs(doc_id, text) -> (one row a document: doc_id, n, gid of its class; links that were needed between classes: a,
+    b, apart; gid, component of the classes that have one)."""
     docs = docs.where("doc_id is not null")
     table = scratch(reduced(docs, common_shingles(docs, k), num, den, k), "reduced")
-    classes = scratch(table.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("gid"), F.min("grp").alias("grp"), F.min("parity").alias("parity")), "classes")
-    by_group = classes.select("grp", "gid", "n")
-    across = held_twice(_group_rows(table)).select("key", F.col("a").alias("grp")).distinct().join(by_group, "grp")
+    classes = scratch(table.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("gid"), F.min("grp").alias("grp"), F.min("parity").alias("parity"), *[F.min(c).alias(c) for c in SKETCH]), "classes")
+    by_group = classes.select("grp", "gid", "n", *SKETCH)
+    across = held_twice(_group_rows(table)).select("key", F.col("a").alias("grp"), F.col("b").cast("int").alias("pos")).distinct().join(by_group, "grp")
     several = classes.groupBy("grp").agg(F.count("*").alias("c")).where("c > 1").select("grp")
-    within = by_group.join(several, "grp").select("grp", F.xxhash64("grp", F.lit("group")).alias("key"), "gid", "n")
-    active = scratch(across.select("key", "gid", "n").union(within.select("key", "gid", "n")).withColumn("component", F.col("gid")), "active")
-    fits = (F.col("n") * den >= F.col("lead_n") * num) & (F.col("lead_n") * den >= F.col("n") * num)
-    checked = None
+    within = by_group.join(several, "grp").select(F.xxhash64("grp", F.lit("group")).alias("key"), "gid", "n", F.lit(0).alias("pos"), *SKETCH)
+    active = scratch(across.select("key", "gid", "n", "pos", *SKETCH).union(within).withColumn("component", F.col("gid")), "active")
+    spark = docs.sparkSession
+    checked, count, label = None, LEADERS, spark.createDataFrame([], "gid long, component long")
     while not active.isEmpty():
         if checked is None:
-            leaders = active.groupBy("key").agg(F.min("gid").alias("lead"), F.min_by("n", "gid").alias("lead_n"), F.min("gid").alias("lead_component"))
+            least = active.groupBy("key").agg(F.min_by(F.struct("gid", "n", "pos", "component", *SKETCH), "gid").alias("l"))
+            done = _as_leads(least.select("key", "l.*"))
         else:
-            leaders = scratch(_leaders(active), "leaders")
-        pairs = active.join(leaders, "key").where((F.col("component") != F.col("lead_component")) & fits).select(F.least("lead", "gid").alias("lead"), F.greatest("lead", "gid").alias("gid")).distinct()
+            done, count = scratch(_leaders(active, count), "leaders"), count * 4
+        pairs = active.join(done, "key").where((F.col("component") != F.col("lead_component")) & _fits(num, den))
+        pairs = pairs.select(F.least("lead", "gid").alias("lead"), F.greatest("lead", "gid").alias("gid")).distinct()
         pairs = pairs.join(checked, ["lead", "gid"], "left_anti") if checked else pairs
         now = _verified(scratch(pairs, "candidates"), classes, docs, num, den, k)
         checked = scratch(checked.union(now) if checked else now, "checked")
-        label = components(checked.where("linked").select(F.col("lead").alias("a"), F.col("gid").alias("b")))
-        label = label.select(F.col("node").alias("gid"), F.col("component").alias("of"))
-        done = leaders.select("key", F.col("lead").alias("gid"))
-        rest = active.join(done, ["key", "gid"], "left_anti").join(label, "gid", "left").select("key", "gid", "n", F.coalesce("of", "gid").alias("component"))
+        label = components(checked.where("linked").select(F.col("lead").alias("a"), F.col("gid").alias("b"))).toDF("gid", "component")
+        rest = active.join(done.select("key", F.col("lead").alias("gid")), ["key", "gid"], "left_anti")
+        rest = rest.drop("component").join(label, "gid", "left").withColumn("component", F.coalesce("component", "gid"))
         apart = rest.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
-        active = scratch(rest.join(apart, "key"), "active")
-    empty = docs.sparkSession.createDataFrame([], "a long, b long, apart double")
+        active = scratch(rest.join(apart, "key").select(*active.columns), "active")
+    empty = spark.createDataFrame([], "a long, b long, apart double")
     found = checked.where("linked").select(F.col("lead").alias("a"), F.col("gid").alias("b"), "apart") if checked else empty
     of = classes.select("d1", "d2", "n", "gid")
-    return table.select("doc_id", "n", "d1", "d2").join(of, ["d1", "d2", "n"], "left").select("doc_id", "n", "gid"), found
+    return table.select("doc_id", "n", "d1", "d2").join(of, ["d1", "d2", "n"], "left").select("doc_id", "n", "gid"), found, label
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 75, den: int = 100, k: int = 5) -> DataFrame:
@@ -208,6 +239,5 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The similarity is num / den or more, compared in whole numbers. No documents: no rows.
     """
     docs = one_name(docs, {"doc_id": id_col, "text": text_col}).withColumn("doc_id", F.col("doc_id").cast("long"))
-    members, found = links(docs, num, den, k)
-    label = components(found.select("a", "b")).toDF("gid", "component")
+    members, _, label = links(docs, num, den, k)
     return members.join(label, "gid", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "gid", "doc_id").alias("component_id"))
