@@ -36,6 +36,8 @@ from millrace.llm.shared import as_bytes, block_rows, chunks, held_twice, mix, o
 SMALL = 256
 #: About so many classes of a larger group are held against all others in the first such round.
 LEADERS = 1024
+#: Ids of candidates up to this number are broadcast (8 bytes each); more are shuffled.
+BROADCAST_IDS = 1_000_000
 #: 64-bit words of the parity sketch that every class of a shingle carries.
 SKETCH = [f"s{i}" for i in range(4)]
 #: A shingle that so many documents hold goes to the end of the order, if it is one of the MOST commonest.
@@ -134,9 +136,16 @@ def _group_rows(table: DataFrame) -> DataFrame:
     return table.where("prefix is not null").select("grp", "prefix").mapInPandas(rows, "slot long, key long, a long, b long, known boolean")
 
 
+def _of_pairs(rows: DataFrame, id_col: str, pairs: DataFrame) -> DataFrame:
+    """The rows whose id stands in a pair. Rows are shuffled only if the ids are too many to broadcast."""
+    ids = scratch(pairs.select(F.col("gid").alias("in_pair")).union(pairs.select("lead")).distinct(), "ids")
+    few = ids.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids.hint("shuffle_merge"), rows[id_col] == ids.in_pair, "left_semi")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, den: int, k: int) -> DataFrame:
     """pairs(lead, gid) -> with apart double, the Jaccard distance (1 where the bitmaps rule a link out) and linked boolean."""
-    c = classes.select("gid", "n", "parity")
+    c = _of_pairs(classes.select("gid", "n", "parity"), "gid", pairs)
     wide = pairs.join(c, "gid").join(c.toDF("lead", "lead_n", "lead_parity"), "lead")
 
     def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,7 +156,6 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, d
 
     filtered = scratch(wide.mapInPandas(possible, "lead long, gid long, n int, lead_n int, may boolean"), "pairs")
     may = filtered.where("may")
-    ids = may.select("gid").union(may.select("lead")).distinct()
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -157,7 +165,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, d
                 cut = np.searchsorted(of, np.arange(1, j - i))
                 yield pd.DataFrame({"gid": b["doc_id"].iloc[i:j].to_numpy(), "items": np.split(h.view(np.int64), cut)})
 
-    held = scratch(docs.join(ids, docs.doc_id == ids.gid, "left_semi").mapInPandas(sets, "gid long, items array<long>").dropDuplicates(["gid"]), "sets")
+    held = scratch(_of_pairs(docs, "doc_id", may).mapInPandas(sets, "gid long, items array<long>").dropDuplicates(["gid"]), "sets")
     both = may.join(held, "gid").join(held.toDF("lead", "lead_items"), "lead")
     inter = both.select("lead", "gid", "n", "lead_n", F.size(F.array_intersect("items", "lead_items")).alias("both"))
     union = F.col("n") + F.col("lead_n") - F.col("both")
