@@ -52,6 +52,7 @@ def shingles(text, k=5):
 def test_jaccard(docs, monkeypatch, small, leaders):
     monkeypatch.setattr(jaccard_join, "SMALL", small)
     monkeypatch.setattr(jaccard_join, "LEADERS", leaders)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 1_000_000 if small > 3 else 0)
     sets = {d: shingles(t) for d, t in texts(docs).items()}
     up = {d: d for d in sets}
 
