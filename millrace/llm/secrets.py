@@ -49,13 +49,13 @@ def spans(text: Column, kind: str, rank: int, pattern: str, group: int, least: i
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str) -> DataFrame:
-    """A written table of one row a document: row, doc_id, owner, repo, base and more spans."""
+    """A written table of one row a document: row, doc_id, owner, repo, base and more spans, and the digest of a text that has any."""
     d = one_name(docs, {"doc_id": id_col, "text": text_col, "owner": owner_col, "repo": repo_col})
     text = F.coalesce("text", F.lit(""))
     base = F.array_sort(F.concat(*[spans(text, k, i, p, g, n) for i, (k, p, g, n) in enumerate(BASE)]))
     more = F.concat(*[spans(text, k, i + len(BASE), p, g, n) for i, (k, p, g, n) in enumerate(MORE)])
-    d = d.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", "repo", base.alias("base"), more.alias("more"))
-    return scratch(d, "spans")
+    d = d.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", "repo", "text", base.alias("base"), more.alias("more"))
+    return scratch(d.withColumn("text", F.when(F.expr("size(base) > 0 or size(more) > 0"), F.sha2("text", 256))), "spans")
 
 
 def frequency(candidates: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def frequency(candidates: DataFrame) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = 1) -> DataFrame:
-    """One row a document: doc_id, base and spans (arrays of s, rank, kind, e, hash, by start and kind), n_live, n_copied.
+    """One row a document: row, doc_id, text (its digest), base and spans (arrays of s, rank, kind, e, hash, by start and kind), n_live, n_copied.
 
     n_live and n_copied count its spans whose value at most max_owners owners, or more of them, hold. MORE spans that
     are copied or that overlap a base span are in neither.
@@ -85,7 +85,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = table.join(by_row, F.col("row") == F.col("of"), "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
     every = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(_SPAN))))
-    return out.select("row", "doc_id", "base", every.alias("spans"), zero("n_live"), zero("n_copied"))
+    return out.select("row", "doc_id", "text", "base", every.alias("spans"), zero("n_live"), zero("n_copied"))
 
 
 def joined(spans: str) -> Column:
@@ -101,10 +101,11 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", mark: str = "[SECRET]", **how: object) -> DataFrame:
     """The same rows and columns, every span of the text replaced by the mark; overlapping spans by one.
 
-    Rows of one id and text share their spans. Rows without spans come through as they are.
+    Spans follow from the text and the values' counts, so rows of one id and text have the same, and are joined by both:
+    rows of one id, or of none, with other texts have their own. Rows without spans come through as they are.
     """
-    found = find_secrets(docs, id_col, text_col, **how).where("size(spans) > 0").select("doc_id", "spans").dropDuplicates(["doc_id", "spans"])
-    found = found.select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans")).dropDuplicates(["_id"])
+    found = find_secrets(docs, id_col, text_col, **how).where("size(spans) > 0")
+    found = found.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_text"])
     text = F.col(f"`{text_col}`")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
     step = lambda acc, x: F.struct(
@@ -112,5 +113,5 @@ def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", mark
         F.when(x["s"] >= acc["at"], F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (x["s"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(acc["out"]).alias("out"),
     )
     end = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-    joined_ = docs.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")), "left")
+    joined_ = docs.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & F.sha2(text, 256).eqNullSafe(F.col("_text")), "left")
     return joined_.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(F.aggregate("_spans", start, step, end))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -109,6 +109,13 @@ def test_secrets(spark):
     assert clean[4] is None
 
 
+def test_redaction_by_row(spark):
+    rows = [(None, "password: hunter22", "a"), (None, "a long and clean text without any", "a"), (None, "x token=abcdef123", "b"), (None, None, "b"), (7, "AKIA" + "Q7" * 8, "a"), (7, "clean text of the same number", "b"), (7, "see secret: 'swordfish' there", "c"), (8, "token=abcdef123", "a"), (8, "token=abcdef123", "a")]
+    clean = secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    want = [(None, "[SECRET]"), (None, "a long and clean text without any"), (None, "x [SECRET]"), (None, None), (7, "[SECRET]"), (7, "clean text of the same number"), (7, "see [SECRET]' there"), (8, "[SECRET]"), (8, "[SECRET]")]
+    assert sorted((str(r.doc_id), str(r.text)) for r in clean) == sorted((str(d), str(t)) for d, t in want)
+
+
 @pytest.mark.parametrize("limit", [4_000_000, -1])
 def test_decontamination(spark, docs, limit):
     held = texts(docs)
