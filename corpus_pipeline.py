@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages, each over all rows that the one before it kept.
 
-Language ID drops documents that it rejects; the n-gram Jaccard join keeps the first document of each component (by doc_id;
-of repeated rows of one doc_id and text one); decontamination drops documents that hold a benchmark item; the secret scan
+Language ID drops documents that it rejects; the n-gram Jaccard join keeps the first document of each component (by doc_id,
+rows without one last; of repeated rows one); decontamination drops documents that hold a benchmark item; the secret scan
 puts a mark in place of secrets; packing gives the windows. All but the last return the columns of documents.
 """
 
@@ -14,7 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, jaccard_join, langid, packing, secrets
-from millrace.llm.shared import shared_dir
+from millrace.llm.shared import scratch, shared_dir
+
+
+def written(docs: DataFrame) -> DataFrame:
+    """docs with a written number of each row, _row: an id may be null or stand in several rows."""
+    return scratch(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,16 +29,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id. Documents without an id stay."""
-    found = jaccard_join.jaccard_components(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component: the one with the smallest doc_id. Rows without words link to none and stay."""
+    rows = written(docs)
+    found = jaccard_join.numbered_components(rows.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    gone = found.where("row <> first_row").select(F.col("row").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    hit = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    rows = written(docs)
+    hit = decontaminate.contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row").select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(hit, "_row", "left_anti").select(*docs.columns)
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,8 +16,10 @@ that very many documents hold last and is by hash otherwise; which those are onl
    those of all other components, all at once in groups of SMALL, in larger ones LEADERS and then four times as many
    a round, until nothing is left outside. No link between components is lost.
 
-Shingles are 64-bit hashes. Nulls, empty texts: no shingles, no links. Rows with equal doc_id are held as one
-document each; they share a component only if they link (rows with a null doc_id are left out of links).
+Shingles are 64-bit hashes. Nulls, empty texts: no shingles, no links. Classes and links go by a number of
+the row, written by the caller or the 64-bit hash of id and text (equal for repeated rows only, which are of one class
+anyway), so rows with equal doc_id, or none, are documents of their own and share a component only if they link. A component is named by its smallest doc_id (null if no row of it has one), so
+two components of rows with one doc_id may have one name; first_row of numbered_components() tells them apart.
 """
 
 from __future__ import annotations
@@ -83,17 +85,18 @@ def _apart(x: bytes, y: bytes) -> int:
 
 
 def reduced(docs: DataFrame, common: np.ndarray, num: int, den: int, k: int) -> DataFrame:
-    """(doc_id, n, d1, d2, grp, parity, prefix, SKETCH): prefix is null where the task has sent on that of the group before."""
+    """docs(row, doc_id, no_id, text) -> (row, doc_id, no_id, n, d1, d2, grp, parity, prefix, SKETCH): prefix is null where
+    the task has sent on that of the group before."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         often, sent = shared.value, set()
         for batch in batches:
-            texts, ids = as_bytes(batch["text"]), batch["doc_id"]
+            texts, ids = as_bytes(batch["text"]), batch[["row", "doc_id", "no_id"]]
             for i, j in chunks(texts):
                 of, h = word_shingles(texts[i:j], k)
                 n = np.bincount(of, minlength=j - i)
-                out = {"doc_id": ids.iloc[i:j].to_numpy(), "n": n.astype(np.int32)}
+                out = {c: ids[c].to_numpy()[i:j] for c in ids} | {"n": n.astype(np.int32)}
                 d1, d2, grp = (np.zeros(j - i, np.uint64) for _ in range(3))
                 parity, prefix, sketch = [None] * (j - i), [None] * (j - i), np.zeros((j - i, len(SKETCH)), np.int64)
                 some = np.flatnonzero(n)
@@ -121,7 +124,7 @@ def reduced(docs: DataFrame, common: np.ndarray, num: int, den: int, k: int) ->
                 yield pd.DataFrame(out | {"d1": d1.view(np.int64), "d2": d2.view(np.int64), "grp": grp.view(np.int64), "parity": parity, "prefix": prefix} | dict(zip(SKETCH, sketch.T, strict=True)))
 
     words = ", ".join(f"{c} long" for c in SKETCH)
-    return docs.mapInPandas(reduce, f"doc_id long, n int, d1 long, d2 long, grp long, parity binary, prefix array<long>, {words}")
+    return docs.mapInPandas(reduce, f"row long, doc_id long, no_id boolean, n int, d1 long, d2 long, grp long, parity binary, prefix array<long>, {words}")
 
 
 def _group_rows(table: DataFrame) -> DataFrame:
@@ -163,9 +166,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, d
             for i, j in chunks(texts):
                 of, h = word_shingles(texts[i:j], k)
                 cut = np.searchsorted(of, np.arange(1, j - i))
-                yield pd.DataFrame({"gid": b["doc_id"].iloc[i:j].to_numpy(), "items": np.split(h.view(np.int64), cut)})
+                yield pd.DataFrame({"gid": b["row"].to_numpy()[i:j], "items": np.split(h.view(np.int64), cut)})
 
-    held = scratch(_of_pairs(docs, "doc_id", may).mapInPandas(sets, "gid long, items array<long>").dropDuplicates(["gid"]), "sets")
+    held = scratch(_of_pairs(docs.select("row", "text"), "row", may).mapInPandas(sets, "gid long, items array<long>").dropDuplicates(["gid"]), "sets")
     both = may.join(held, "gid").join(held.toDF("lead", "lead_items"), "lead")
     inter = both.select("lead", "gid", "n", "lead_n", F.size(F.array_intersect("items", "lead_items")).alias("both"))
     union = F.col("n") + F.col("lead_n") - F.col("both")
@@ -207,11 +210,11 @@ def _leaders(active: DataFrame, leaders: int) -> DataFrame:
 
 
 def links(docs: DataFrame, num: int = 75, den: int = 100, k: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """docs(doc_id, text) -> (one row a document: doc_id, n, gid of its class; links that were needed between classes: a,
-    b, apart; gid, component of the classes that have one)."""
-    docs = docs.where("doc_id is not null")
+    """docs(row, doc_id, text) -> (one row each: row, doc_id, n, gid of its class (its smallest row), first of the
+    class by doc_id; links that were needed between classes: a, b, apart; gid, component of the classes that have one)."""
+    docs = docs.select("row", F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.isnull("doc_id").alias("no_id"), "text")
     table = scratch(reduced(docs, common_shingles(docs, k), num, den, k), "reduced")
-    classes = scratch(table.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("gid"), F.min("grp").alias("grp"), F.min("parity").alias("parity"), *[F.min(c).alias(c) for c in SKETCH]), "classes")
+    classes = scratch(table.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("row").alias("gid"), F.min(F.struct("no_id", "doc_id", "row")).alias("first"), F.min("grp").alias("grp"), F.min("parity").alias("parity"), *[F.min(c).alias(c) for c in SKETCH]), "classes")
     by_group = classes.select("grp", "gid", "n", *SKETCH)
     across = held_twice(_group_rows(table)).select("key", F.col("a").alias("grp"), F.col("b").cast("int").alias("pos")).distinct().join(by_group, "grp")
     several = classes.groupBy("grp").agg(F.count("*").alias("c")).where("c > 1").select("grp")
@@ -237,8 +240,21 @@ def links(docs: DataFrame, num: int = 75, den: int = 100, k: int = 5) -> tuple[D
         active = scratch(rest.join(apart, "key").select(*active.columns), "active")
     empty = spark.createDataFrame([], "a long, b long, apart double")
     found = checked.where("linked").select(F.col("lead").alias("a"), F.col("gid").alias("b"), "apart") if checked else empty
-    of = classes.select("d1", "d2", "n", "gid")
-    return table.select("doc_id", "n", "d1", "d2").join(of, ["d1", "d2", "n"], "left").select("doc_id", "n", "gid"), found, label
+    of = classes.select("d1", "d2", "n", "gid", "first")
+    own = table.select("row", F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n", "d1", "d2")
+    return own.join(of, ["d1", "d2", "n"], "left").select("row", "doc_id", "n", "gid", "first"), found, label
+
+
+def numbered_components(docs: DataFrame, num: int = 75, den: int = 100, k: int = 5) -> DataFrame:
+    """docs(row, doc_id, text) -> row, doc_id, n_shingles long, component_id: the smallest doc_id that links reach
+    (null if none), first_row: the row of that document, the smallest if several have it. One row of a component is its first."""
+    members, _, label = links(docs, num, den, k)
+    firsts = members.where("row = gid").select("gid", "first").join(label, "gid")
+    best = firsts.groupBy("component").agg(F.min("first").alias("best"))
+    of = label.join(best, "component").select("gid", "best")
+    first = F.coalesce("best", "first", F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row"))
+    out = members.join(of, "gid", "left").select("row", "doc_id", F.col("n").cast("long").alias("n_shingles"), first.alias("f"))
+    return out.select("row", "doc_id", "n_shingles", F.when(~F.col("f.no_id"), F.col("f.doc_id")).alias("component_id"), F.col("f.row").alias("first_row"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 75, den: int = 100, k: int = 5) -> DataFrame:
@@ -247,5 +263,4 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The similarity is num / den or more, compared in whole numbers. No documents: no rows.
     """
     docs = one_name(docs, {"doc_id": id_col, "text": text_col}).withColumn("doc_id", F.col("doc_id").cast("long"))
-    members, _, label = links(docs, num, den, k)
-    return members.join(label, "gid", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "gid", "doc_id").alias("component_id"))
+    return numbered_components(docs.withColumn("row", F.xxhash64("doc_id", "text")), num, den, k).select("doc_id", "n_shingles", "component_id")

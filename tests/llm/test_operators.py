@@ -70,6 +70,33 @@ def test_jaccard(docs, monkeypatch, small, leaders):
     assert got == {d: (len(s), root(d)) for d, s in sets.items()}
 
 
+def test_jaccard_of_rows(spark):
+    """Rows of null or equal ids are documents of their own; the pipeline keeps one row of each component."""
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    a, b, c, d, e = (words(rng, 40) for _ in range(5))
+    rows = [(1, a), (1, a), (None, a), (None, b), (None, b), (2, c), (2, d), (3, d), (0, d + " zz"), (4, e), (None, e), (5, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [tuple(r) for r in jaccard_join.jaccard_components(docs).collect()]
+    want = [(1, 36, 1)] * 2 + [(None, 36, 1), (None, 36, None), (None, 36, None), (2, 36, 2), (2, 36, 0), (3, 36, 0), (0, 37, 0), (4, 36, 4), (None, 36, 4), (5, 0, 5), (None, 0, None)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [(1, a), (None, b), (2, c), (0, d + " zz"), (4, e), (5, None), (None, "")]))
+
+
+def test_decontamination_of_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    item, clean = words(rng, 20), words(rng, 40)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"x {item} y"), (None, clean), (1, item), (1, clean), (2, clean), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [(None, clean), (1, clean), (2, clean), (3, None)]))
+
+
 @pytest.mark.parametrize("length", [25, 60])
 def test_suffix_dedup(docs, length):
     data = {d: t.encode() for d, t in texts(docs).items()}
