@@ -221,6 +221,25 @@ def test_language_id(spark):
     assert sum(r.rejected for r in rows) <= 3
 
 
+@pytest.mark.parametrize("size", [20, 200])
+def test_language_id_rejects(spark, size):
+    """Limits come from all training rows, whatever their ids: other languages are rejected, held-out rows aren't."""
+    given = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 100").select("doc_id", "text", "lang").orderBy("doc_id").limit(size)
+    rows = given.where(~langid.held_out())
+    foreign = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.", "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+    ]
+    model = langid.fit(rows)
+    assert np.isfinite(model.limits).all()
+    assert [r.rejected for r in langid.predict(spark.createDataFrame(list(enumerate(foreign)), "doc_id long, text string"), model).collect()] == [True] * 3
+    assert langid.predict(given, model).where("rejected").count() <= size // 100
+    # no row of this table has an id that a sample by id would take
+    ids = [i for i in range(100_000) if i % 128 == 77][: rows.count()]
+    again = langid.fit(spark.createDataFrame([(i, r.text, r.lang) for i, r in zip(ids, rows.collect())], "doc_id long, text string, lang string"))
+    assert (again.limits == model.limits).all()
+
+
 def test_kneser_ney_sums_to_one():
     import pandas as pd
 
