@@ -1,12 +1,14 @@
 """Secret scans (1), native: candidate values, and how many repositories and owners of the corpus hold each.
 
-A value that many owners hold is a widely copied example; one that few hold is owner-specific and looks live.
+A value that many owners hold, in more repositories than owners' own values, is a widely copied example; any other is
+owner-specific and looks live. Copies of a text count once, whoever holds them. Many owners are one in SHARE of the
+corpus's, MANY at most; more repositories are more than nine in ten of the values of at most max_owners owners have.
 Candidates are found with Java regular expressions; positions are code points, end exclusive, from the lengths of
 matches and of what lies between them. Kinds of BASE are always reported. Those of MORE only if they look live and
 overlap no base span. Values are compared by SHA-256 and never leave as text.
 
 Nulls and empty texts: no spans. A null owner or repository counts as one of its own. Repeated rows are scanned
-each for itself, and count once for their repository. No rows: no rows.
+each for itself, and count once. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ MORE = (
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 29),
     ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+", 0, 60),
 )
+#: A copied value stands with one in SHARE of all owners, or with MANY.
+SHARE, MANY = 4, 16
 _SPAN = "array<struct<s:bigint,rank:int,kind:string,e:bigint,hash:string>>"
 
 
@@ -59,23 +63,34 @@ def scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col:
 
 
 def frequency(candidates: DataFrame) -> DataFrame:
-    """candidates(hash, owner, repo) -> (hash, repos, owners): distinct ones, pre-aggregated so that no hash is hot."""
-    repos = candidates.groupBy("hash", "owner", "repo").agg(F.lit(1).alias("one"))
+    """candidates(hash, text, owner, repo) -> (hash, repos, owners): distinct ones, pre-aggregated so that no hash is hot.
+
+    A text counts for the first of its owners and repositories, however many copies of it there are."""
+    texts = candidates.groupBy("hash", "text").agg(F.min(F.struct("owner", "repo")).alias("at"))
+    repos = texts.groupBy("hash", "at.owner", "at.repo").agg(F.lit(1).alias("one"))
     owners = repos.groupBy("hash", "owner").agg(F.count("*").alias("repos"))
     return owners.groupBy("hash").agg(F.sum("repos").alias("repos"), F.count("*").alias("owners"))
 
 
+def copied(counts: DataFrame, all_owners: int, max_owners: int) -> Column:
+    """Whether a value of counts(hash, repos, owners), written, is a widely copied example, by both of its counts."""
+    many = max(max_owners + 1, min(MANY, -(-all_owners // SHARE)))
+    usual = counts.where(F.col("owners") <= max_owners).agg(F.percentile("repos", F.lit(0.9))).first()[0]
+    return (F.col("owners") >= many) & (F.col("repos") > F.lit(usual or 0.0))
+
+
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = 1) -> DataFrame:
     """One row a document: row, doc_id, text (its digest), base and spans (arrays of s, rank, kind, e, hash, by start and kind), n_live, n_copied.
 
-    n_live and n_copied count its spans whose value at most max_owners owners, or more of them, hold. MORE spans that
-    are copied or that overlap a base span are in neither.
+    n_live and n_copied count its spans whose value is not, or is, a widely copied example; one that at most max_owners
+    owners hold never is. MORE spans that are copied or that overlap a base span are in neither.
     """
     table = scan(docs, id_col, text_col, owner_col, repo_col)
     apart = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"])))
-    each = table.where("size(base) > 0 or size(more) > 0").select("row", "owner", "repo", F.explode(F.concat("base", apart)).alias("span"))
+    each = table.where("size(base) > 0 or size(more) > 0").select("row", "text", "owner", "repo", F.explode(F.concat("base", apart)).alias("span"))
     each = each.withColumn("hash", F.col("span.hash"))
-    judged = each.join(frequency(each), "hash").withColumn("live", F.col("owners") <= max_owners)
+    counts = scratch(frequency(each), "counts")
+    judged = each.join(counts, "hash").withColumn("live", ~copied(counts, table.select("owner").distinct().count(), max_owners))
     extra = F.col("span.rank") >= len(BASE)
     by_row = judged.groupBy(F.col("row").alias("of")).agg(
         F.collect_list(F.when(extra & F.col("live"), F.col("span"))).alias("added"),

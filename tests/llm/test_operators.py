@@ -136,6 +136,19 @@ def test_secrets(spark):
     assert clean[4] is None
 
 
+def test_secrets_copied_by_few_stay_live(spark):
+    """20 owners: a token in copies of one text everywhere, one quoted by two others, one of a busy owner, and an example that half hold."""
+    copy, quoted, busy, example = ("ghp_" + x * 12 for x in ("aB3", "xY9", "Qr5", "mN7"))
+    rows = [(f"the same page with {copy} in it", f"s{i}") for i in range(20)]
+    rows += [(f"text {i} has {quoted}", f"s{i}") for i in range(3)] + [(f"own text {i} of {busy}", "s4") for i in range(30)] + [(f"example {i}: {example}", f"s{i}") for i in range(10)]
+    rows += [(f"single AKIA{i:04d}{'Q7' * 8}", f"s{i}") for i in range(20)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, source string")
+    for r in secrets.redact(docs).collect():
+        assert ("ghp_" in r.text) == ("example" in r.text), r.text
+    few = docs.where(F.col("text").contains("example") | F.col("text").contains("own text"))
+    assert {r.n_live for r in secrets.find_secrets(few).collect()} == {1}  # many owners, but no more repositories than one owner's value has
+
+
 def test_redaction_by_row(spark):
     rows = [(None, "password: hunter22", "a"), (None, "a long and clean text without any", "a"), (None, "x token=abcdef123", "b"), (None, None, "b"), (7, "AKIA" + "Q7" * 8, "a"), (7, "clean text of the same number", "b"), (7, "see secret: 'swordfish' there", "c"), (8, "token=abcdef123", "a"), (8, "token=abcdef123", "a")]
     clean = secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
