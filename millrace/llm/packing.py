@@ -11,6 +11,8 @@ Text null or empty: the end id alone. Documents without tokens and empty tables
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -24,10 +26,19 @@ from millrace.llm.shared import one_name, scratch
 
 WINDOW = 2048
 END_ID = 1
-#: Words that a worker remembers the ids of; how many changes nothing but the time.
-REMEMBERED = 400_000
+#: Words that a task remembers the ids of; how many changes nothing but the time. Longer words aren't remembered.
+REMEMBERED, LONG_WORD = 300_000, 64
 #: A bin has about so many tokens and rows.
 BIN_TOKENS, BIN_ROWS = 4_000_000, 100_000
+#: How a tokenizer normalizes and splits text whose words Encoder may take one by one.
+NORMALIZER = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"})
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: The same split for words of Latin letters below U+0250, and what such words are made of.
+_PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]|[^a-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+_LATIN = re.compile("[!-@\\[-~\u00c0-\u024f]+")
+#: What makes a text go to the tokenizer as it is: controls that str.split() takes for white space, letters whose lower
+#: case depends on others or is two characters, and the beginning of special tokens.
+_WHOLE = re.compile("[\x1c-\x1f\u03a3\u0130]|<\\|")
 _tokenizers: dict[str, "Encoder"] = {}
 
 
@@ -37,70 +48,78 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: its own if it is printable, else one from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit numbers.
 
-    This tokenizer lower-cases, drops white space and never joins over it, so a text's ids are those of its words in turn,
-    and a word is encoded once as long as it is remembered. Letters and the punctuation behind them go apart in it too;
-    words of letters alone are encoded many at a time, as the last id of each ends a word.
+    Of a tokenizer that lower-cases, drops white space and never joins over it or over its split, a text's ids are those of
+    its words' parts in turn: parts go to the model alone, and words are remembered. Any other tokenizer, and texts and
+    words that these rules don't cover, are encoded by the tokenizer as a whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        spec = json.loads(self.tokenizer.to_str())
+        normalizers = (spec["normalizer"] or {}).get("normalizers", [])
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        known = len(steps) == 2 and steps[0]["type"] == "Split" and steps[0]["pattern"] == {"Regex": SPLIT} and (steps[0]["behavior"], steps[0]["invert"]) == ("Removed", True)
+        known = known and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+        specials = all(t["content"].startswith("<|") and not t["normalized"] for t in spec["added_tokens"])
+        self.by_word = known and specials and tuple(normalizers) == NORMALIZER and spec["post_processor"] is None and spec["model"]["type"] == "BPE" and not spec["model"]["dropout"]
+        self.model = self.tokenizer.model
+        self.id_bytes = [int(i).to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.letters = byte_letters()
         self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def forget(self) -> None:
+        self.words.clear()
+        self.parts.clear()
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
-        # left to the tokenizer: letters whose lower case depends on others or is two characters, and controls that
-        # str.split() takes for white space
-        split = []
-        for t in texts:
-            t = "" if t is None or t != t else t
-            if any(c in t for c in "\x1c\x1d\x1e\x1f"):
-                split.append([t])
-            else:
-                split.append((t if "\u03a3" in t or "\u0130" in t else t.lower()).split())
-        new = set(chain.from_iterable(split)).difference(self.words)
+        texts = ["" if t is None or t != t else t for t in texts]
+        if not self.by_word:
+            return list(map(self._whole, texts))
+        split = [None if _WHOLE.search(t) else t.lower().split() for t in texts]
+        every = set(chain.from_iterable(filter(None, split)))
+        new = every.difference(self.words)
         if len(self.words) + len(new) > REMEMBERED:
-            self.words.clear()
-            self.cores.clear()
-            new = set(chain.from_iterable(split))
-        plain, cores, tails, other = [], [], [], []
+            self.forget()
+            new = every
+        words = self.words
+        words.update(zip(new, map(self._word, new), strict=True))
+        out = [self._whole(t) if ws is None else b"".join(map(words.__getitem__, ws)) for t, ws in zip(texts, split, strict=True)]
         for w in new:
-            c = w.rstrip(".,;:!?")
-            if c.isalpha() and "\u03a3" not in c and "\u0130" not in c:
-                plain.append(w)
-                cores.append(c)
-                tails.append(w[len(c) :])
-            else:
-                other.append(w)
-        own = self.cores
-        self._letters(list(set(cores).difference(own)))
-        self._alone(list(set(tails).difference(own)), own)
-        self.words.update(zip(plain, (own[c] + own[t] if t else own[c] for c, t in zip(cores, tails, strict=True)), strict=True))
-        self._alone(other, self.words)
-        return [b"".join(map(self.words.__getitem__, ws)) for ws in split]
-
-    def _letters(self, cores: list[str]) -> None:
-        for i in range(0, len(cores), 4000):
-            part = cores[i : i + 4000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(part):
-                self._alone(part, self.cores)
-                continue
-            raw, at = ids.tobytes(), 0
-            for w, e in zip(part, (ends * 4).tolist(), strict=True):
-                self.cores[w] = raw[at:e]
-                at = e
-
-    def _alone(self, words: list[str], to: dict[str, bytes]) -> None:
-        if words:
-            to.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True))
+            if len(w) > LONG_WORD:
+                del words[w]
+        return out
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if not _LATIN.fullmatch(word):
+            return self._whole(word)
+        if word.isalpha():
+            return self._part(word)
+        return b"".join(map(self._part, _PART.findall(word)))
+
+    def _part(self, part: str) -> bytes:
+        got = self.parts.get(part)
+        if got is None:
+            own = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+            got = b"".join([self.id_bytes[x.id] for x in self.model.tokenize(own)])
+            if len(part) <= LONG_WORD:
+                self.parts[part] = got
+        return got
 
 
 def encoder(path: str) -> Encoder:
@@ -115,17 +134,20 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                out = []
-                for doc, ids in zip(part["doc_id"], enc.texts(list(part["text"])), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    for start in range(0, n, window):
-                        piece = ids[4 * start : 4 * (start + window)]
-                        out.append((doc, start, len(piece) // 4, zlib.crc32(piece), n, *([piece] if keep_ids else [])))
-                yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * keep_ids])
+        try:
+            for batch in batches:
+                for at in range(0, len(batch), 500):
+                    part = batch.iloc[at : at + 500]
+                    out = []
+                    for doc, ids in zip(part["doc_id"], enc.texts(list(part["text"])), strict=True):
+                        ids += end
+                        n = len(ids) // 4
+                        for start in range(0, n, window):
+                            piece = ids[4 * start : 4 * (start + window)]
+                            out.append((doc, start, len(piece) // 4, zlib.crc32(piece), n, *([piece] if keep_ids else [])))
+                    yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * keep_ids])
+        finally:
+            enc.forget()  # workers live on after the task
 
     return scratch(docs.mapInPandas(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids), "pieces")
 
