@@ -27,8 +27,8 @@ GROUP, GROUPS = 256, 8192
 def sketches(texts: list[bytes], one_in: int = ONE_IN, k: int = 5) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     limit = np.uint64((2**64 - 1) // one_in)
-    for i, j in chunks(texts):
-        of, h = word_shingles(texts[i:j], k)
+    for i, j, part in chunks(texts):
+        of, h = word_shingles(part, k)
         keep = h <= limit
         keep[np.concatenate([[True], of[1:] != of[:-1]])[: len(of)]] = True
         of, h = of[keep], h[keep]

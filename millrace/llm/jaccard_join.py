@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components
-from millrace.llm.shared import as_bytes, block_rows, chunks, held_twice, mix, one_name, scratch, word_shingles
+from millrace.llm.shared import block_rows, chunks, held_twice, mix, one_name, scratch, word_shingles
 
 #: Largest group whose unconnected classes are compared all with all.
 SMALL = 256
@@ -55,9 +55,7 @@ def common_shingles(docs: DataFrame, k: int = 5) -> np.ndarray:
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts, got = as_bytes(batch["text"]), []
-            for i, j in chunks(texts):
-                got.append(word_shingles(texts[i:j], k)[1])
+            got = [word_shingles(texts, k)[1] for _, _, texts in chunks(batch["text"])]
             if got:
                 h = np.sort(np.concatenate(got))
                 first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
@@ -92,9 +90,9 @@ def reduced(docs: DataFrame, common: np.ndarray, num: int, den: int, k: int) ->
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         often, sent = shared.value, set()
         for batch in batches:
-            texts, ids = as_bytes(batch["text"]), batch[["row", "doc_id", "no_id"]]
-            for i, j in chunks(texts):
-                of, h = word_shingles(texts[i:j], k)
+            ids = batch[["row", "doc_id", "no_id"]]
+            for i, j, texts in chunks(batch["text"]):
+                of, h = word_shingles(texts, k)
                 n = np.bincount(of, minlength=j - i)
                 out = {c: ids[c].to_numpy()[i:j] for c in ids} | {"n": n.astype(np.int32)}
                 d1, d2, grp = (np.zeros(j - i, np.uint64) for _ in range(3))
@@ -162,9 +160,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, d
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = as_bytes(b["text"])
-            for i, j in chunks(texts):
-                of, h = word_shingles(texts[i:j], k)
+            for i, j, texts in chunks(b["text"]):
+                of, h = word_shingles(texts, k)
                 cut = np.searchsorted(of, np.arange(1, j - i))
                 yield pd.DataFrame({"gid": b["row"].to_numpy()[i:j], "items": np.split(h.view(np.int64), cut)})
 

@@ -6,7 +6,7 @@ import gc
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,16 +33,19 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 #: A random-looking odd number for each byte value, the same on every worker.
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _WORD) | np.uint64(1)
+#: Bytes of a chunk of texts; powers of the bases are kept by workers up to so many.
+CHUNK, KEPT_POWERS = 500_000, 1 << 20
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(n: int, base: int = 1099511628211) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i = 0..n, kept by the worker and grown by doubling."""
+    """base**i and base**-i modulo 2**64 for i = 0..n, grown by doubling; those of a very long text aren't kept."""
     have = _tables.get(base)
     if have is None or len(have[0]) <= n:
         size = 1 << max(16, int(n).bit_length())
         have = tuple(np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(size, b, np.uint64))]) for b in (base, pow(base, -1, 2**64)))
-        _tables[base] = have
+        if size <= KEPT_POWERS:
+            _tables[base] = have
     return have
 
 
@@ -94,21 +97,23 @@ def word_shingles(texts: list[bytes], k: int = 5) -> tuple[np.ndarray, np.ndarra
     return of[keep], got[keep]
 
 
-def chunks(texts: list[bytes], size: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about so many bytes, so that the arrays of a chunk stay small; a longer text is alone."""
-    at = total = 0
+def utf8(text: object) -> bytes:
+    """UTF-8 of a text; null is empty."""
+    return b"" if text is None or text is pd.NA or text != text else text.encode("utf-8", "surrogatepass")
+
+
+def chunks(texts: Iterable[object], size: int = CHUNK) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Ranges of a column with the UTF-8 of their texts, of about so many bytes, so that the arrays of a chunk stay small; a longer text is alone."""
+    at, total, held = 0, 0, []
     for i, t in enumerate(texts):
+        t = t if isinstance(t, bytes) else utf8(t)
         if total and total + len(t) > size:
-            yield at, i
-            at, total = i, 0
+            yield at, i, held
+            at, total, held = i, 0, []
+        held.append(t)
         total += len(t)
-    if at < len(texts):
-        yield at, len(texts)
-
-
-def as_bytes(column: pd.Series) -> list[bytes]:
-    """UTF-8 of each text; null is empty."""
-    return [b"" if t is None or t is pd.NA or t != t else t.encode("utf-8", "surrogatepass") for t in column]
+    if held:
+        yield at, at + len(held), held
 
 
 def shared_dir(spark: SparkSession) -> str:
