@@ -16,7 +16,7 @@ Of all suffixes only the order by their first `length` bytes matters, so it is:
 What proves a repeat is equal in 128 bits. Exact copies are one text from the start: each of `length` bytes or more
 is removed whole. All texts are shuffled once, those with a repeated tuple are then kept in a table. A key that
 very many rows hold comes to its task once a block (see held_twice). No text, null or a text shorter than
-`length`: nothing is removed. Rows with equal doc_id are separate documents.
+`length`: nothing is removed. Rows with equal or null doc_id are separate documents.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import as_bytes, block_rows, free, held_twice, mix, one_name, prefix_sums, scratch, span_hash
+from millrace.llm.shared import block_rows, free, held_twice, mix, one_name, prefix_sums, scratch, span_hash, utf8
 
 #: A second base, for the other half of a 128-bit name.
 BASE2 = 0x27D4EB2F165667C5
@@ -159,7 +159,7 @@ def _repeated_tuples(docs: DataFrame, length: int) -> DataFrame:
     def tuples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def named() -> Iterator[tuple[np.ndarray, ...]]:
             for batch in batches:
-                for tid, text in zip(batch["tid"].to_numpy(), as_bytes(batch["text"]), strict=True):
+                for tid, text in zip(batch["tid"].to_numpy(), map(utf8, batch["text"]), strict=True):
                     at = sampled(len(text), width, v, residues)
                     yield span_hash(prefix_sums(np.frombuffer(text, np.uint8)), at, at + width), np.full(len(at), tid), at
 
@@ -170,11 +170,10 @@ def _repeated_tuples(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _narrow(docs: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
-    """(rep, tid, text, at) of the texts that have a repeated tuple."""
-    found = found.join(texts.select("tid", F.col("rep").alias("doc_id")), "tid")
-    same = docs.doc_id.eqNullSafe(found.doc_id) & (docs.tid == found.tid)
-    joined = docs.join(found, same).select(docs.doc_id.alias("rep"), docs.tid, F.col("text").cast("binary").alias("text"), "at")
-    return scratch(joined.dropDuplicates(["rep", "tid"]), "narrow")
+    """(single, tid, text, at) of the texts that have a repeated tuple. single: no other document has the text."""
+    found = found.join(texts.select("tid", "rep", (F.col("copies") == 1).alias("single")), "tid")
+    joined = docs.select("rep", "tid", F.col("text").cast("binary").alias("text")).join(found, ["rep", "tid"])
+    return scratch(joined.dropDuplicates(["rep", "tid"]).drop("rep"), "narrow")
 
 
 def _judged(narrow: DataFrame, length: int) -> DataFrame:
@@ -219,20 +218,21 @@ def _singles(narrow: DataFrame, judged: DataFrame, length: int) -> DataFrame:
 
         return _blocks(windows(), once=True)
 
-    rows = narrow.drop("rep").join(judged.where("size(open) > 0 or size(holder) > 0"), "tid").mapInPandas(named, "slot long, key long, a long, b long, known boolean")
+    rows = narrow.drop("single").join(judged.where("size(open) > 0 or size(holder) > 0"), "tid").mapInPandas(named, "slot long, key long, a long, b long, known boolean")
     return scratch(held_twice(rows, once=True).groupBy(F.col("a").alias("tid")).agg(F.collect_set("b").alias("single")), "singles")
 
 
 def repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_bytes, starts, ends (removed byte spans), kept (bytes; null: all of the text), kept_sha256."""
+    """docs(doc_id, text) -> doc_id, n_bytes, starts, ends (removed byte spans), kept (bytes that are left)."""
     v, _ = cover_for(length)
-    docs = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("tid", F.xxhash64("text"))
-    ids = scratch(docs.select("doc_id", "tid", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "ids")
-    texts = ids.groupBy("tid", "sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes"))
+    rep = F.coalesce("doc_id", F.lit(-(2**63))).alias("rep")
+    docs = docs.select("doc_id", rep, F.coalesce("text", F.lit("")).alias("text")).withColumn("tid", F.xxhash64("text"))
+    sha = F.sha2("text", 256).alias("sha")
     long = docs.where(F.octet_length("text") >= length)
+    texts = scratch(long.select("rep", "tid", sha).groupBy("tid", "sha").agg(F.min("rep").alias("rep"), F.count("*").alias("copies")), "texts")
     found = _repeated_tuples(long, length)
     free(docs.sparkSession)
-    narrow = _narrow(long, texts.where(F.col("n_bytes") >= length), found)
+    narrow = _narrow(long, texts, found)
     free(docs.sparkSession)
     judged = _judged(narrow, length)
     free(docs.sparkSession)
@@ -242,32 +242,36 @@ def repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for rep, tid, text, *codes, single in zip(*(batch[c] for c in ("rep", "tid", "text", "at", "none", "open", "holder", "single")), strict=True):
+            for tid, text, *codes, single in zip(*(batch[c] for c in ("tid", "text", "at", "none", "open", "holder", "single")), strict=True):
                 proven, opened, _ = _starts(length, v, len(text), *map(_codes, codes))
                 opened[_codes(single)[opened[_codes(single)]]] = False
                 i, j = runs(proven | opened)
-                if not len(i):
-                    continue
-                edge = np.bincount(i, minlength=len(text) + 1) - np.bincount(j - 1 + length, minlength=len(text) + 1)
-                gone = np.cumsum(edge)[: len(text)] > 0
-                s, e = runs(gone)
-                kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                out.append((rep, tid, s.astype(np.int64), e.astype(np.int64), kept, hashlib.sha256(kept).hexdigest()))
+                if len(i):
+                    edge = np.bincount(i, minlength=len(text) + 1) - np.bincount(j - 1 + length, minlength=len(text) + 1)
+                    s, e = runs(np.cumsum(edge)[: len(text)] > 0)
+                    out.append((tid, hashlib.sha256(text).hexdigest(), s.astype(np.int64), e.astype(np.int64)))
             if out:
-                yield pd.DataFrame(out, columns=["r", "t", "starts", "ends", "kept", "kept_sha256"])
-
-    spans = narrow.join(judged, "tid", "left").join(singles, "tid", "left").mapInPandas(cut, "r long, t long, starts array<long>, ends array<long>, kept binary, kept_sha256 string")
-    rows = ids.join(texts.select("tid", "sha", "rep", "copies"), ["tid", "sha"]).join(spans, F.col("rep").eqNullSafe(F.col("r")) & (F.col("tid") == F.col("t")), "left")
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    none = F.array().cast("array<long>")
-    return rows.select(
-        "doc_id",
-        "n_bytes",
-        F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(F.coalesce("starts", none)).alias("starts"),
-        F.when(whole, F.array("n_bytes")).otherwise(F.coalesce("ends", none)).alias("ends"),
-        F.when(whole, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
-        F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-    )
+                yield pd.DataFrame(out, columns=["tid", "sha", "starts", "ends"])
+
+    spans = narrow.where("single").drop("single").join(judged, "tid", "left").join(singles, "tid", "left").mapInPandas(cut, "tid long, sha string, starts array<long>, ends array<long>")
+    whole = texts.where("copies > 1").select("tid", "sha", F.lit(None).cast("array<long>").alias("starts"), F.lit(None).cast("array<long>").alias("ends"))
+    # one row a text: of the documents that share a text, however many, Spark can split the join
+    gone = scratch(spans.union(whole).withColumn("some", F.lit(True)), "spans")
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                b = batch.iloc[at : at + 1000]
+                n, spans, kept = [], [], []
+                for text, some, starts, ends in zip(b["text"], b["some"], b["starts"], b["ends"], strict=True):
+                    n.append(len(text))
+                    cuts = ([], []) if some is not True else ([0], [len(text)]) if starts is None else (starts, ends)
+                    spans.append(cuts)
+                    kept.append(b"".join(text[i:j] for i, j in zip([0, *cuts[1]], [*cuts[0], len(text)], strict=True)))
+                yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "n_bytes": n, "starts": [s for s, _ in spans], "ends": [e for _, e in spans], "kept": kept})
+
+    rows = docs.select("doc_id", "tid", sha, F.col("text").cast("binary").alias("text")).join(gone, ["tid", "sha"], "left")
+    return rows.select("doc_id", "text", "some", "starts", "ends").mapInPandas(keep, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
@@ -276,5 +280,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def digest(found: DataFrame) -> DataFrame:
+    """The outcome by number; n_kept and text are what is left, with a mark where a cut went through a character."""
     removed = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda x, y: x + y)
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), "kept_sha256")
+    left = (F.octet_length("kept").cast("long").alias("n_kept"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), *left)

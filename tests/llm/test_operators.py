@@ -112,8 +112,9 @@ def test_suffix_dedup(docs, length):
                 gone[i : i + length] = True
         kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
         want[d] = (len(t), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest())
-    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.digest(suffix_dedup.remove_repeats(docs, length=length)).collect()}
-    assert got == want
+    rows = suffix_dedup.digest(suffix_dedup.remove_repeats(docs, length=length)).collect()
+    assert {r.doc_id: tuple(r)[1:5] for r in rows} == want
+    assert all(r.n_kept == r.n_bytes - r.n_removed == len(r.text.encode()) for r in rows)  # cuts of these texts are between characters
 
 
 @pytest.mark.parametrize("q", [2, 3, 5, 7, 17])
@@ -156,8 +157,9 @@ def test_redaction_by_row(spark):
     assert sorted((str(r.doc_id), str(r.text)) for r in clean) == sorted((str(d), str(t)) for d, t in want)
 
 
-@pytest.mark.parametrize("limit", [4_000_000, -1])
-def test_decontamination(spark, docs, limit):
+@pytest.mark.parametrize(("limit", "pairs"), [(4_000_000, 1_000_000), (4_000_000, 3), (-1, 3)])
+def test_decontamination(spark, docs, monkeypatch, limit, pairs):
+    monkeypatch.setattr(decontaminate, "PAIRS", pairs)
     held = texts(docs)
     items = [(1, held[1][-80:]), (2, "no such words in any of them at all"), (3, None), (4, held[3]), (4, held[3])]
     got = sorted((r.doc_id, r.item_id, r.n_shared, r.n_item) for r in decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string"), max_sketch=limit).collect())
