@@ -38,7 +38,7 @@ _PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8
 _LATIN = re.compile("[!-@\\[-~\u00c0-\u024f]+")
 #: What makes a text go to the tokenizer as it is: controls that str.split() takes for white space, letters whose lower
 #: case depends on others or is two characters, and the beginning of special tokens.
-_WHOLE = re.compile("[\x1c-\x1f\u03a3\u0130]|<\\|")
+_WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "\u03a3", "\u0130", "<|")
 _tokenizers: dict[str, "Encoder"] = {}
 
 
@@ -88,14 +88,14 @@ class Encoder:
         texts = ["" if t is None or t != t else t for t in texts]
         if not self.by_word:
             return list(map(self._whole, texts))
-        split = [None if _WHOLE.search(t) else t.lower().split() for t in texts]
+        split = [None if any(c in t for c in _WHOLE) else t.lower().split() for t in texts]
         every = set(chain.from_iterable(filter(None, split)))
         new = every.difference(self.words)
         if len(self.words) + len(new) > REMEMBERED:
             self.forget()
             new = every
+        self._learn(new)
         words = self.words
-        words.update(zip(new, map(self._word, new), strict=True))
         out = [self._whole(t) if ws is None else b"".join(map(words.__getitem__, ws)) for t, ws in zip(texts, split, strict=True)]
         for w in new:
             if len(w) > LONG_WORD:
@@ -105,20 +105,24 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        if not _LATIN.fullmatch(word):
-            return self._whole(word)
-        if word.isalpha():
-            return self._part(word)
-        return b"".join(map(self._part, _PART.findall(word)))
+    def _learn(self, new: set[str]) -> None:
+        """Remembers the ids of words; most are letters and what punctuation stands behind them."""
+        words, parts, part = self.words, self.parts, self._part
+        for w in new:
+            core = w.rstrip(".,;:!?")
+            if core.isalpha() and (core.isascii() or _LATIN.fullmatch(core)):
+                got = parts.get(core) or part(core)
+                words[w] = got if len(core) == len(w) else got + (parts.get(w[len(core) :]) or part(w[len(core) :]))
+            elif _LATIN.fullmatch(w):
+                words[w] = b"".join([parts.get(x) or part(x) for x in _PART.findall(w)])
+            else:
+                words[w] = self._whole(w)
 
     def _part(self, part: str) -> bytes:
-        got = self.parts.get(part)
-        if got is None:
-            own = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
-            got = b"".join([self.id_bytes[x.id] for x in self.model.tokenize(own)])
-            if len(part) <= LONG_WORD:
-                self.parts[part] = got
+        own = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+        got = b"".join([self.id_bytes[x.id] for x in self.model.tokenize(own)])
+        if len(part) <= LONG_WORD:
+            self.parts[part] = got
         return got
 
 
