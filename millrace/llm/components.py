@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import scratch
+from millrace.llm.shared import drop, scratch
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,6 +23,10 @@ def components(links: DataFrame) -> DataFrame:
         low = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("low"))
         up = labels.select(F.col("node").alias("low"), F.col("component").alias("up"))
         after = scratch(low.join(up, "low").select("node", F.least("low", "up").alias("component"), (F.least("low", "up") < F.col("was")).alias("moved")), "labels")
-        labels = after.select("node", "component")
+        drop(labels)
+        labels = after
         if after.where("moved").isEmpty():
-            return labels
+            drop(both)
+            out = after.drop("moved")
+            out.scratch_path = after.scratch_path
+            return out

@@ -10,7 +10,8 @@ that very many documents hold last and is by hash otherwise; which those are onl
 2. Prefix shingles that two groups hold make group pairs; they are expanded to the classes of each group.
    A shingle's positions in two sets bound what they share if it is the first that they share: other pairs are
    left to that first one. A short parity sketch rules out most of what is left before a pair is made.
-3. Of the classes of a shingle, each is first held against one leader (linear, not all pairs), filtered by
+3. Of the classes of a shingle, each is first held against one leader, that of the smallest doc_id (linear, not all
+   pairs; copies tend to come after what they are copies of), filtered by
    the parity bitmaps' lower bound of the symmetric difference, and verified on the sets themselves.
    A group that isn't one component by then goes on: classes outside its largest component are held against
    those of all other components, all at once in groups of SMALL, in larger ones LEADERS and then four times as many
@@ -25,6 +26,7 @@ two components of rows with one doc_id may have one name; first_row of numbered_
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,12 +34,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components
-from millrace.llm.shared import block_rows, chunks, held_twice, mix, one_name, scratch, word_shingles
+from millrace.llm.shared import block_rows, chunks, drop, held_twice, mix, one_name, scratch, word_shingles
 
 #: Largest group whose unconnected classes are compared all with all.
-SMALL = 256
-#: About so many classes of a larger group are held against all others in the first such round.
-LEADERS = 1024
+SMALL = 64
+#: About so many classes of a larger group are held against all others in the first such round. A group of near copies
+#: meets in many shingles, in each with leaders of its own.
+LEADERS = 16
 #: Ids of candidates up to this number are broadcast (8 bytes each); more are shuffled.
 BROADCAST_IDS = 1_000_000
 #: 64-bit words of the parity sketch that every class of a shingle carries.
@@ -137,16 +140,20 @@ def _group_rows(table: DataFrame) -> DataFrame:
     return table.where("prefix is not null").select("grp", "prefix").mapInPandas(rows, "slot long, key long, a long, b long, known boolean")
 
 
-def _of_pairs(rows: DataFrame, id_col: str, pairs: DataFrame) -> DataFrame:
-    """The rows whose id stands in a pair. Rows are shuffled only if the ids are too many to broadcast."""
-    ids = scratch(pairs.select(F.col("gid").alias("in_pair")).union(pairs.select("lead")).distinct(), "ids")
+def _ids(pairs: DataFrame) -> DataFrame:
+    return scratch(pairs.select(F.col("gid").alias("in_pair")).union(pairs.select("lead")).distinct(), "ids")
+
+
+def _of_pairs(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows whose id is among the ids. Rows are shuffled only if the ids are too many to broadcast."""
     few = ids.count() <= BROADCAST_IDS
     return rows.join(F.broadcast(ids) if few else ids.hint("shuffle_merge"), rows[id_col] == ids.in_pair, "left_semi")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, den: int, k: int) -> DataFrame:
-    """pairs(lead, gid) -> with apart double, the Jaccard distance (1 where the bitmaps rule a link out) and linked boolean."""
-    c = _of_pairs(classes.select("gid", "n", "parity"), "gid", pairs)
+    """pairs(lead, gid) -> a written table with apart double, the Jaccard distance (1 where the bitmaps rule a link out) and linked boolean."""
+    ids = _ids(pairs)
+    c = _of_pairs(classes.select("gid", "n", "parity"), "gid", ids)
     wide = pairs.join(c, "gid").join(c.toDF("lead", "lead_n", "lead_parity"), "lead")
 
     def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,6 +164,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, d
 
     filtered = scratch(wide.mapInPandas(possible, "lead long, gid long, n int, lead_n int, may boolean"), "pairs")
     may = filtered.where("may")
+    drop(ids)
+    ids = _ids(may)
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -165,12 +174,14 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, d
                 cut = np.searchsorted(of, np.arange(1, j - i))
                 yield pd.DataFrame({"gid": b["row"].to_numpy()[i:j], "items": np.split(h.view(np.int64), cut)})
 
-    held = scratch(_of_pairs(docs.select("row", "text"), "row", may).mapInPandas(sets, "gid long, items array<long>").dropDuplicates(["gid"]), "sets")
+    held = scratch(_of_pairs(docs.select("row", "text"), "row", ids).mapInPandas(sets, "gid long, items array<long>").dropDuplicates(["gid"]), "sets")
     both = may.join(held, "gid").join(held.toDF("lead", "lead_items"), "lead")
     inter = both.select("lead", "gid", "n", "lead_n", F.size(F.array_intersect("items", "lead_items")).alias("both"))
     union = F.col("n") + F.col("lead_n") - F.col("both")
     sure = inter.select("lead", "gid", (1 - F.col("both") / union).alias("apart"), (F.col("both").cast("long") * den >= union.cast("long") * num).alias("linked"))
-    return sure.union(filtered.where("not may").select("lead", "gid", F.lit(1.0), F.lit(False)))
+    out = scratch(sure.union(filtered.where("not may").select("lead", "gid", F.lit(1.0), F.lit(False))), "verified")
+    drop(ids, filtered, held)
+    return out
 
 
 def _outside(active: DataFrame) -> DataFrame:
@@ -211,32 +222,41 @@ def links(docs: DataFrame, num: int = 75, den: int = 100, k: int = 5) -> tuple[D
     class by doc_id; links that were needed between classes: a, b, apart; gid, component of the classes that have one)."""
     docs = docs.select("row", F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.isnull("doc_id").alias("no_id"), "text")
     table = scratch(reduced(docs, common_shingles(docs, k), num, den, k), "reduced")
-    classes = scratch(table.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("row").alias("gid"), F.min(F.struct("no_id", "doc_id", "row")).alias("first"), F.min("grp").alias("grp"), F.min("parity").alias("parity"), *[F.min(c).alias(c) for c in SKETCH]), "classes")
-    by_group = classes.select("grp", "gid", "n", *SKETCH)
+    classes = scratch(table.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("row").alias("gid"), F.min(F.struct("no_id", "doc_id", "row")).alias("first"), F.min(F.when(~F.col("no_id"), F.col("doc_id"))).alias("born"), F.min("grp").alias("grp"), F.min("parity").alias("parity"), *[F.min(c).alias(c) for c in SKETCH]), "classes")
+    by_group = classes.select("grp", "gid", "n", F.coalesce("born", F.lit(2**63 - 1)).alias("born"), *SKETCH)
     across = held_twice(_group_rows(table)).select("key", F.col("a").alias("grp"), F.col("b").cast("int").alias("pos")).distinct().join(by_group, "grp")
     several = classes.groupBy("grp").agg(F.count("*").alias("c")).where("c > 1").select("grp")
-    within = by_group.join(several, "grp").select(F.xxhash64("grp", F.lit("group")).alias("key"), "gid", "n", F.lit(0).alias("pos"), *SKETCH)
-    active = scratch(across.select("key", "gid", "n", "pos", *SKETCH).union(within).withColumn("component", F.col("gid")), "active")
+    within = by_group.join(several, "grp").select(F.xxhash64("grp", F.lit("group")).alias("key"), "gid", "n", "born", F.lit(0).alias("pos"), *SKETCH)
+    active = scratch(across.select("key", "gid", "n", "born", "pos", *SKETCH).union(within).withColumn("component", F.col("gid")), "active")
     spark = docs.sparkSession
-    checked, count, label = None, LEADERS, spark.createDataFrame([], "gid long, component long")
+    checked: list[DataFrame] = []  # a written table a round
+    count, label, leaders = LEADERS, None, None
     while not active.isEmpty():
-        if checked is None:
-            least = active.groupBy("key").agg(F.min_by(F.struct("gid", "n", "pos", "component", *SKETCH), "gid").alias("l"))
+        if not checked:
+            least = active.groupBy("key").agg(F.min_by(F.struct("gid", "n", "pos", "component", *SKETCH), F.struct("born", "gid")).alias("l"))
             done = _as_leads(least.select("key", "l.*"))
         else:
-            done, count = scratch(_leaders(active, count), "leaders"), count * 4
+            done = leaders = scratch(_leaders(active, count), "leaders")
+            count *= 4
         pairs = active.join(done, "key").where((F.col("component") != F.col("lead_component")) & _fits(num, den))
         pairs = pairs.select(F.least("lead", "gid").alias("lead"), F.greatest("lead", "gid").alias("gid")).distinct()
-        pairs = pairs.join(checked, ["lead", "gid"], "left_anti") if checked else pairs
-        now = _verified(scratch(pairs, "candidates"), classes, docs, num, den, k)
-        checked = scratch(checked.union(now) if checked else now, "checked")
-        label = components(checked.where("linked").select(F.col("lead").alias("a"), F.col("gid").alias("b"))).toDF("gid", "component")
+        pairs = pairs.join(reduce(DataFrame.union, checked), ["lead", "gid"], "left_anti") if checked else pairs
+        pairs = scratch(pairs, "candidates")
+        checked.append(_verified(pairs, classes, docs, num, den, k))
+        drop(pairs, label)
+        linked = reduce(DataFrame.union, checked).where("linked")
+        label = components(linked.select(F.col("lead").alias("a"), F.col("gid").alias("b")))
+        labels = label.toDF("gid", "component")
         rest = active.join(done.select("key", F.col("lead").alias("gid")), ["key", "gid"], "left_anti")
-        rest = rest.drop("component").join(label, "gid", "left").withColumn("component", F.coalesce("component", "gid"))
+        rest = scratch(rest.drop("component").join(labels, "gid", "left").withColumn("component", F.coalesce("component", "gid")), "rest")
+        drop(active, leaders)
         apart = rest.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
-        active = scratch(rest.join(apart, "key").select(*active.columns), "active")
+        active, leaders = scratch(rest.join(apart, "key").select(*active.columns), "active"), None
+        drop(rest)
+    drop(active)
+    label = label.toDF("gid", "component") if checked else spark.createDataFrame([], "gid long, component long")
     empty = spark.createDataFrame([], "a long, b long, apart double")
-    found = checked.where("linked").select(F.col("lead").alias("a"), F.col("gid").alias("b"), "apart") if checked else empty
+    found = linked.select(F.col("lead").alias("a"), F.col("gid").alias("b"), "apart") if checked else empty
     of = classes.select("d1", "d2", "n", "gid", "first")
     own = table.select("row", F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n", "d1", "d2")
     return own.join(of, ["d1", "d2", "n"], "left").select("row", "doc_id", "n", "gid", "first"), found, label

@@ -131,7 +131,18 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes tables of scratch() that nothing reads any more: what was made of them is written."""
+    for t in tables:
+        if t is not None:
+            spark = t.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def held_twice(rows: DataFrame, once: bool = False) -> DataFrame:
