@@ -2,13 +2,14 @@
 
 A sketch keeps every shingle hash below a fixed fraction of all hashes, so sketches of unequal texts are comparable
 and the sketch of a union is the union of sketches. The smallest hash is always kept, so that a text with a word
-has no empty sketch. Written as "s<one in>:" and the hashes, 16 hex digits each, ascending.
+has no empty sketch; merge() keeps it that way. Written as "s<one in>:" and the hashes, 8 bytes each, ascending, in base64.
 
 Null and empty texts: no hashes; likeness and containment with them are 0, of two of them 1.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -19,17 +20,20 @@ from pyspark.sql import functions as F
 
 from millrace.llm.shared import chunks, one_name, word_shingles
 
-ONE_IN = 8
+ONE_IN = 2
 #: Documents that are put in order in one group, and the most groups.
 GROUP, GROUPS = 256, 8192
 
 
+def limit(one_in: int) -> np.uint64:
+    return np.uint64((2**64 - 1) // one_in)
+
+
 def sketches(texts: list[bytes], one_in: int = ONE_IN, k: int = 5) -> list[np.ndarray]:
     out: list[np.ndarray] = []
-    limit = np.uint64((2**64 - 1) // one_in)
     for i, j, part in chunks(texts):
         of, h = word_shingles(part, k)
-        keep = h <= limit
+        keep = h <= limit(one_in)
         keep[np.concatenate([[True], of[1:] != of[:-1]])[: len(of)]] = True
         of, h = of[keep], h[keep]
         out += np.split(h, np.searchsorted(of, np.arange(1, j - i)))
@@ -37,16 +41,24 @@ def sketches(texts: list[bytes], one_in: int = ONE_IN, k: int = 5) -> list[np.nd
 
 
 def written(sketch: np.ndarray, one_in: int = ONE_IN) -> str:
-    return f"s{one_in}:{sketch.astype('>u8').tobytes().hex()}"
+    return f"s{one_in}:{base64.b64encode(sketch.astype('>u8').tobytes()).decode()}"
+
+
+def one_in_of(fingerprint: str) -> int:
+    return int(fingerprint.partition(":")[0][1:])
 
 
 def read(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(fingerprint.partition(":")[2]), ">u8").astype(np.uint64)
+    return np.frombuffer(base64.b64decode(fingerprint.partition(":")[2]), ">u8").astype(np.uint64)
 
 
 def merge(a: str, b: str) -> str:
-    """The fingerprint of both texts' shingles together, but for hashes kept only as the smallest of one."""
-    return f"{a.partition(':')[0]}:{np.union1d(read(a), read(b)).astype('>u8').tobytes().hex()}"
+    """The fingerprint of both texts' shingles together. Both must have one fraction."""
+    one_in = one_in_of(a)
+    if one_in != one_in_of(b):
+        raise ValueError("fingerprints of different fractions")
+    both = np.union1d(read(a), read(b))
+    return written(both[: max(1, int(np.searchsorted(both, limit(one_in), side="right")))], one_in)
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
