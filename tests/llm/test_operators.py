@@ -207,6 +207,17 @@ def test_fingerprints(docs):
         assert got[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert 0 <= got[d].near_edited <= 1
     assert len({r.fingerprint for r in got.values() if held[r.doc_id] == held[4] or r.doc_id == 4}) == 1
+    for one_in in (1, 2, 64):  # of a union: the merged sketches of its parts
+        x, y, both = (fingerprints.written(f, one_in) for f in fingerprints.sketches([held[1].encode(), held[4].encode(), (held[1] + "\n").encode()], one_in))
+        union = sorted({*fingerprints.sketches([held[1].encode()], 1)[0].tolist(), *fingerprints.sketches([held[4].encode()], 1)[0].tolist()})
+        want = [h for h in union if h <= fingerprints.limit(one_in)] or union[:1]
+        assert fingerprints.read(fingerprints.merge(x, y)).tolist() == want
+        assert x == both
+    with pytest.raises(ValueError):
+        fingerprints.merge("s2:", "s4:")
+    x, y = fingerprints.sketches([held[1].encode(), " ".join([held[1], "and", held[4]]).encode()], 1)
+    assert fingerprints.containment(x, y) == 1.0
+    assert fingerprints.containment(y, x) == len(x) / len(y)
     x, y = (fingerprints.sketches([held[1].encode(), held[4].encode()], 1))
     assert fingerprints.likeness(x, y) == len(shingles(held[1]) & shingles(held[4])) / len(shingles(held[1]) | shingles(held[4]))
 
@@ -215,8 +226,22 @@ def test_url_filter(spark):
     urls = ["http://A.Example.com/en/7x?y", "https://b.com/en/1", "http://example.net/de/81", "x.net/de/", None, "http://spam-farm.example.org/fr/", "http://sub.ads-track.example.com#f", "http://ok.org/es/"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     want = [("allow", "example.com/en/7"), ("block", "com/en/"), ("block", "example.net/de/8"), ("allow", None), ("allow", None), ("block", None), ("block", None), ("block", "org/es/")]
-    for bits in (1 << 30, 1):  # the cascade, and what stands in beyond its bound
-        assert [(r.verdict, r.rule) for r in urlfilter.judge_urls(df, max_bits=bits).orderBy("page_id").collect()] == want
+    table = spark.createDataFrame([(x, 1) for x in (*urlfilter.LISTED, None, "")], "domain string, key int")
+    for how in ({}, {"max_bits": 64}, {"listed": table, "rate": 0.4}):  # one cascade, several, a table of hosts
+        assert [(r.verdict, r.rule) for r in urlfilter.judge_urls(df, **how).orderBy("page_id").collect()] == want
+
+
+def test_url_filter_of_many_hosts(spark):
+    """A list and urls of thousands of hosts, against sets, by cascades of several levels and shards; extra columns clash."""
+    rng = random.Random(9)
+    host = lambda: ".".join(rng.choice(["a", "b", "c", "d1", "www", "e"]) for _ in range(rng.randint(1, 4))) + rng.choice([".com", ".net"])
+    bad = sorted({host() for _ in range(600)})
+    urls = [f"http://{host()}/{rng.choice(['', 'en/', 'en/7'])}" for _ in range(3000)]
+    df = spark.createDataFrame([(i, u, "x", "y", ["z"]) for i, u in enumerate(urls)], "page_id long, url string, host string, key string, hits array<string>").repartition(3)
+    got = {r.page_id: r.verdict for r in urlfilter.judge_urls(df, rules=(), listed=spark.createDataFrame([(b,) for b in bad], "h string"), rate=0.3, max_bits=512).collect()}
+    for i, u in enumerate(urls):
+        parts = u[7:].split("/")[0].split(".")
+        assert got[i] == ("block" if any(".".join(parts[j:]) in bad for j in range(len(parts))) else "allow"), u
 
 
 def test_cascade_is_exact(spark):
@@ -276,6 +301,33 @@ def test_html(spark):
     assert got == {0: "T & t\n\none two\n\nthree", 1: "alpha beta gamma", 2: "delta epsilon zeta", 3: "third", 9: "", 10: ""}
 
 
+def test_html_where_markup_says_nothing(spark):
+    """Boilerplate that no tag or class betrays goes by the host's suffix array; passages that articles share stay."""
+    rng = random.Random(11)
+    top, side, foot, shared = (words(rng, n) for n in (20, 30, 25, 40))
+    rows, want = [], {}
+    for i in range(40):
+        own = [words(rng, rng.randint(5, 60)) for _ in range(3)]
+        body = [top, own[0], shared if i % 5 == 0 else own[1], side, own[2], foot]
+        if i % 2:  # divisions only
+            html_ = "<body>" + "".join(f"<div>{x}</div>" for x in body) + "</body>"
+            want[i] = "\n\n".join(x for x in body if x in own)
+        else:  # an article; within it a block of links that may mean either, and one that is its own
+            html_ = f"<body><div>{top}</div><article class='post tag-menu'><h1 id='cookie-recipes'>{own[0]}</h1><p>{shared}</p><section class='related-work'>{own[1]}</section><div class='share'>{side}</div><math><mi>E</mi></math> is</article><div class='social'>{own[2]}</div></body>"
+            want[i] = "\n\n".join([own[0], shared, own[1], "E is"])
+        rows.append((i, f"http://{'hot' if i < 30 else 'cold'}.example.com/{i}", html_, "text", "host"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, host string").repartition(3)
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    odd = {i for i in range(40) if i % 10 == 5}  # shared by pages without an article: repeated, so not their own
+    assert {i: got[i] for i in want if i not in odd} == {i: want[i] for i in want if i not in odd}
+    assert {i for i in odd if shared in got[i]} == {35}  # the only one of its host
+
+
+def test_html_reader_comments_and_names(spark):
+    page = "<article><p>one</p><ol class='comment-list'><li>mine</li></ol><aside>no</aside><div class='ad'>no</div><div role='navigation'>no</div><object>two</object><form><textarea>no</textarea></form></article>"
+    assert [t for t, said in html_extract.blocks(page) if said == html_extract.OWN] == ["one", "two"]
+
+
 def test_html_of_given_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
@@ -300,6 +352,72 @@ def test_quotes(spark):
     assert at[None, 1, "x"].root_turn is None
 
 
+def quoted_model(rows):
+    """(conv, turn, text) -> parent turn of each, by plain Python."""
+    norm = lambda x: re.sub(r"\s+", " ", x.lower()).strip()
+    cut = lambda x: re.split(r"(?<=[.!?])\s+", x)
+    level = lambda x: re.match(r"([ \t]*>)*", x)[0].count(">")
+    bare = lambda x: re.sub(r"^([ \t]*>)+[ \t]?", "", x)
+    said = {}
+    for conv, turn, text in rows:
+        own = "\n".join("" if level(x) or re.match(r"[ \t]*On .+ wrote:[ \t]*$", x) else x for x in text.split("\n")).strip()
+        parts = re.split(r"\n[ \t]*\n", own)
+        for u in {norm(own), *map(norm, parts), *map(norm, own.split("\n")), *(s for p in parts for s in cut(norm(p)))} - {""}:
+            said[conv, u] = min(turn, said.get((conv, u), turn))
+    out = {}
+    for conv, turn, text in rows:
+        runs, last = [], None
+        for x in text.split("\n"):
+            n = 0 if re.match(r"[ \t]*On .+ wrote:[ \t]*$", bare(x)) or not norm(bare(x)) else level(x)
+            if n and n == last:
+                runs[-1][1].append(norm(bare(x)))
+            elif n:
+                runs.append((n, [norm(bare(x))]))
+            last = n
+        found = []
+        for n, lines in runs:
+            whole = " ".join(lines)
+            at = said.get((conv, whole), turn)
+            if at >= turn:
+                units = {u for u in [*lines, *cut(whole)] if u != whole and len(u.split(" ")) >= quotes.MIN_WORDS}
+                votes = [t for u in units if (t := said.get((conv, u), turn)) < turn]
+                at = max(votes, key=lambda t: (votes.count(t), t), default=None)
+            if at is not None and at < turn:
+                found.append((n, -at))
+        before = max((t for c, t, _ in rows if c == conv and t < turn), default=None)
+        out[conv, turn] = (-min(found)[1] if found else before, len(runs), len(found))
+    return out
+
+
+def test_quotes_against_a_model(spark):
+    """Whole bodies, parts of paragraphs, lines wrapped anew, nested levels, attributions within, text around quotations."""
+    rng, rows = random.Random(12), []
+    for conv in range(12):
+        bodies = []
+        for turn in range(12):
+            own = "\n\n".join("\n".join(". ".join(words(rng, rng.randint(2, 5)) for _ in range(rng.randint(1, 3))) + "." for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 3)))
+            text = own
+            if bodies and rng.random() < 0.8:
+                other = rng.choice(bodies)
+                lines = [x for x in other.split("\n") if x]
+                i = rng.randrange(len(lines))
+                quote = rng.choice([other.split("\n"), lines[i : i + 2], lines[i].split(". ")[:1], words(rng, 6).split("\n"), re.sub(r"((\S+ ){3})", r"\1\n", " ".join(lines)).split("\n")])
+                if rng.random() < 0.3:
+                    quote = [*quote, "On Friday B wrote:", *("> " + x for x in rng.choice(bodies).split("\n"))]
+                mark = rng.choice(["> ", ">", " > "])
+                text = f"On Monday A wrote:\n" + "\n".join(mark + x for x in quote) + "\n" + own
+                text = words(rng, 4) + "\n" + text if rng.random() < 0.3 else text
+            bodies.append(own)
+            rows.append((conv, turn * 3, text))
+    df = spark.createDataFrame([(c, t, "user", x, 1, "h") for c, t, x in rows], "conv_id long, turn long, role string, text string, row int, hash string").repartition(3)
+    got = quotes.link_quotes(df).collect()
+    want = quoted_model(rows)
+    assert {(r.conv_id, r.turn): (r.parent_turn, r.n_quotes, r.n_linked) for r in got} == want
+    for conv in range(12):
+        order = [r.turn for r in sorted((r for r in got if r.conv_id == conv), key=lambda r: r.reply_key)]
+        assert all(want[conv, t][0] is None or order.index(want[conv, t][0]) < i for i, t in enumerate(order))
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     pages = spark.createDataFrame([], "page_id long, url string, html string")
