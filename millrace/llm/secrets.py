@@ -34,6 +34,8 @@ MORE = (
 )
 #: A copied value stands with one in SHARE of all owners, or with MANY.
 SHARE, MANY = 4, 16
+#: Copied values are broadcast up to this number; more are shuffled to the candidates.
+BROADCAST_VALUES = 500_000
 _SPAN = "array<struct<s:bigint,rank:int,kind:string,e:bigint,hash:string>>"
 
 
@@ -90,7 +92,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     each = table.where("size(base) > 0 or size(more) > 0").select("row", "text", "owner", "repo", F.explode(F.concat("base", apart)).alias("span"))
     each = each.withColumn("hash", F.col("span.hash"))
     counts = scratch(frequency(each), "counts")
-    judged = each.join(counts, "hash").withColumn("live", ~copied(counts, table.select("owner").distinct().count(), max_owners))
+    examples = scratch(counts.where(copied(counts, table.select("owner").distinct().count(), max_owners)).select("hash", F.lit(True).alias("example")), "examples")
+    few = examples.count() <= BROADCAST_VALUES
+    judged = each.join(F.broadcast(examples) if few else examples, "hash", "left").withColumn("live", F.isnull("example"))
     extra = F.col("span.rank") >= len(BASE)
     by_row = judged.groupBy(F.col("row").alias("of")).agg(
         F.collect_list(F.when(extra & F.col("live"), F.col("span"))).alias("added"),
