@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components
-from millrace.llm.shared import block_rows, chunks, drop, held_twice, mix, one_name, scratch, word_shingles
+from millrace.llm.shared import blocks, chunks, drop, free, held_twice, mix, small_batches, one_name, scratch, word_shingles
 
 #: Largest group whose unconnected classes are compared all with all.
 SMALL = 64
@@ -47,21 +48,26 @@ BROADCAST_IDS = 1_000_000
 SKETCH = [f"s{i}" for i in range(4)]
 #: A shingle that so many documents hold goes to the end of the order, if it is one of the MOST commonest.
 COMMON, MOST = 16, 1_000_000
+BLOCK = 4_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def common_shingles(docs: DataFrame, k: int = 5) -> np.ndarray:
     """Sorted hashes of the most common shingles, at most MOST of them, that COMMON documents or more hold.
 
-    Tasks leave out what fewer than three documents of a batch hold. What is missing here costs time and no link.
+    Tasks leave out what fewer than three documents of a block of BLOCK shingles hold. What is missing here costs time and no link.
     """
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            got = [word_shingles(texts, k)[1] for _, _, texts in chunks(batch["text"])]
-            if got:
-                h = np.sort(np.concatenate(got))
-                first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
+        held, size = [], 0
+        for batch in chain(batches, [None]):
+            for _, _, texts in () if batch is None else chunks(batch["text"]):
+                held.append(word_shingles(texts, k)[1])
+                size += len(held[-1])
+            if size > BLOCK or batch is None and size:
+                h = np.sort(np.concatenate(held))
+                held, size = [], 0
+                first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
                 n = np.diff(np.append(first, len(h)))
                 yield pd.DataFrame({"h": h[first[n > 2]].view(np.int64), "n": n[n > 2].astype(np.int64)})
 
@@ -129,13 +135,16 @@ def reduced(docs: DataFrame, common: np.ndarray, num: int, den: int, k: int) ->
 
 
 def _group_rows(table: DataFrame) -> DataFrame:
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
             if len(batch):
                 sizes = batch["prefix"].map(len).to_numpy()
                 tokens = np.concatenate(batch["prefix"].to_numpy()).view(np.uint64)
                 at = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                yield block_rows(tokens, np.repeat(batch["grp"].to_numpy(), sizes), at, tokens)
+                yield tokens, np.repeat(batch["grp"].to_numpy(), sizes), at, tokens
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return blocks(parts(batches))
 
     return table.where("prefix is not null").select("grp", "prefix").mapInPandas(rows, "slot long, key long, a long, b long, known boolean")
 
@@ -220,6 +229,7 @@ def _leaders(active: DataFrame, leaders: int) -> DataFrame:
 def links(docs: DataFrame, num: int = 75, den: int = 100, k: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """docs(row, doc_id, text) -> (one row each: row, doc_id, n, gid of its class (its smallest row), first of the
     class by doc_id; links that were needed between classes: a, b, apart; gid, component of the classes that have one)."""
+    small_batches(docs.sparkSession)
     docs = docs.select("row", F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.isnull("doc_id").alias("no_id"), "text")
     table = scratch(reduced(docs, common_shingles(docs, k), num, den, k), "reduced")
     classes = scratch(table.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("row").alias("gid"), F.min(F.struct("no_id", "doc_id", "row")).alias("first"), F.min(F.when(~F.col("no_id"), F.col("doc_id"))).alias("born"), F.min("grp").alias("grp"), F.min("parity").alias("parity"), *[F.min(c).alias(c) for c in SKETCH]), "classes")
@@ -229,6 +239,7 @@ def links(docs: DataFrame, num: int = 75, den: int = 100, k: int = 5) -> tuple[D
     within = by_group.join(several, "grp").select(F.xxhash64("grp", F.lit("group")).alias("key"), "gid", "n", "born", F.lit(0).alias("pos"), *SKETCH)
     active = scratch(across.select("key", "gid", "n", "born", "pos", *SKETCH).union(within).withColumn("component", F.col("gid")), "active")
     spark = docs.sparkSession
+    free(spark)  # the largest shuffle is over
     checked: list[DataFrame] = []  # a written table a round
     count, label, leaders = LEADERS, None, None
     while not active.isEmpty():

@@ -33,6 +33,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 #: A random-looking odd number for each byte value, the same on every worker.
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _WORD) | np.uint64(1)
+#: Spark's setting for the bytes of a batch, and the value where it is unset.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)
+#: Rows that a task holds against one another before it sends them on.
+BLOCK = 1_000_000
 #: Bytes of a chunk of texts; powers of the bases are kept by workers up to so many.
 CHUNK, KEPT_POWERS = 500_000, 1 << 20
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -116,6 +120,12 @@ def chunks(texts: Iterable[object], size: int = CHUNK) -> Iterator[tuple[int, in
         yield at, at + len(held), held
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches that texts go to Python in by their bytes, unless the session does: 10,000 rows of texts are much memory."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; only where it is unset, as in tests, an own one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -129,6 +139,7 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows to a new table in the shared folder and reads it: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -211,6 +222,19 @@ def block_rows(slot: np.ndarray, a: np.ndarray, b: np.ndarray, key: np.ndarray |
     return pd.DataFrame({c: v[back] for c, v in cols.items()})
 
 
+def blocks(parts: Iterable[tuple[np.ndarray, ...]], **how: bool) -> Iterator[pd.DataFrame]:
+    """block_rows() of about a million rows of (slot, a, b[, key]), whatever batches they come from."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n > BLOCK:
+            yield block_rows(*map(np.concatenate, zip(*held, strict=True)), **how)
+            held, n = [], 0
+    if n:
+        yield block_rows(*map(np.concatenate, zip(*held, strict=True)), **how)
+
+
 def free(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of steps whose results are written: it does so when their handles are collected."""
     for _ in range(2):
@@ -221,4 +245,5 @@ def free(spark: SparkSession) -> None:
 
 def one_name(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
     """Selects the wanted columns under the operator's own names, so that no other column can clash."""
+    small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`").alias(own) for own, c in wanted.items()])

@@ -31,14 +31,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import block_rows, free, held_twice, mix, one_name, prefix_sums, scratch, span_hash, utf8
+from millrace.llm.shared import blocks, free, held_twice, mix, one_name, prefix_sums, scratch, span_hash, utf8
 
 #: A second base, for the other half of a 128-bit name.
 BASE2 = 0x27D4EB2F165667C5
 #: Ranges of d that a repeated tuple is named again by.
 PARTS = 4
-#: Rows that a task holds against one another before it sends them on.
-BLOCK = 1_000_000
 NONE, OPEN, HOLDER = range(3)
 
 
@@ -138,19 +136,6 @@ def _states(rows: DataFrame) -> DataFrame:
     return rows.repartition("slot").sortWithinPartitions("slot", "key").mapInPandas(groups, "a long, b long, state int")
 
 
-def _blocks(parts: Iterator[tuple[np.ndarray, ...]], **how: bool) -> Iterator[pd.DataFrame]:
-    """Blocks of about a million rows of (slot, a, b[, key])."""
-    held, n = [], 0
-    for part in parts:
-        held.append(part)
-        n += len(part[0])
-        if n > BLOCK:
-            yield block_rows(*map(np.concatenate, zip(*held, strict=True)), **how)
-            held, n = [], 0
-    if n:
-        yield block_rows(*map(np.concatenate, zip(*held, strict=True)), **how)
-
-
 def _repeated_tuples(docs: DataFrame, length: int) -> DataFrame:
     """(tid, at): the repeated sampled tuples of each text."""
     v, residues = cover_for(length)
@@ -163,7 +148,7 @@ def _repeated_tuples(docs: DataFrame, length: int) -> DataFrame:
                     at = sampled(len(text), width, v, residues)
                     yield span_hash(prefix_sums(np.frombuffer(text, np.uint8)), at, at + width), np.full(len(at), tid), at
 
-        return _blocks(named())
+        return blocks(named())
 
     rows = docs.select("tid", "text").mapInPandas(tuples, "slot long, a long, b long, known boolean")
     return scratch(held_twice(rows).groupBy(F.col("a").alias("tid")).agg(F.collect_set("b").alias("at")), "tuples")
@@ -181,7 +166,7 @@ def _judged(narrow: DataFrame, length: int) -> DataFrame:
     v, _ = cover_for(length)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return _blocks((_around(length, v, tid, text, np.sort(at)) for b in batches for tid, text, at in zip(b["tid"], b["text"], b["at"], strict=True)), dedupe=True)
+        return blocks((_around(length, v, tid, text, np.sort(at)) for b in batches for tid, text, at in zip(b["tid"], b["text"], b["at"], strict=True)), dedupe=True)
 
     states = _states(narrow.select("tid", "text", "at").mapInPandas(rows, "slot long, key long, a long, b long, known boolean"))
     of = {"none": NONE, "open": OPEN, "holder": HOLDER}
@@ -216,7 +201,7 @@ def _singles(narrow: DataFrame, judged: DataFrame, length: int) -> DataFrame:
                     at = np.flatnonzero(_starts(length, v, len(text), *map(_codes, codes))[2])
                     yield span_hash(prefix_sums(data), at, at + length), np.full(len(at), tid), at, span_hash(prefix_sums(data, BASE2), at, at + length, BASE2)
 
-        return _blocks(windows(), once=True)
+        return blocks(windows(), once=True)
 
     rows = narrow.drop("single").join(judged.where("size(open) > 0 or size(holder) > 0"), "tid").mapInPandas(named, "slot long, key long, a long, b long, known boolean")
     return scratch(held_twice(rows, once=True).groupBy(F.col("a").alias("tid")).agg(F.collect_set("b").alias("single")), "singles")
