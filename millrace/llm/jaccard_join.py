@@ -41,7 +41,7 @@ from millrace.llm.shared import blocks, chunks, drop, free, held_twice, mix, sma
 SMALL = 64
 #: About so many classes of a larger group are held against all others in the first such round. A group of near copies
 #: meets in many shingles, in each with leaders of its own.
-LEADERS = 16
+LEADERS = 256
 #: Ids of candidates up to this number are broadcast (8 bytes each); more are shuffled.
 BROADCAST_IDS = 1_000_000
 #: 64-bit words of the parity sketch that every class of a shingle carries.
