@@ -1,16 +1,19 @@
 """Change data capture on DataFrames: envelopes are decoded, records classified, changes folded by key and merged.
 
-The result is what applying the changes one at a time would leave. Changes of a key are folded in the order of their offsets,
-from the stored row: a newer stored version stays, a delete ends the row, a delete without a version is
-ordered by the stream alone. With log positions (lsn) the highest wins, deletes included, and the fold is one max_by, which
-Spark aggregates before it shuffles, so a hot key costs one row a task.
+Every record's value and key are parsed once, to a variant, and columns are read from it with their JSON types. The
+result is what applying the changes one at a time would leave. Changes of a key are judged in the order of their offsets,
+from the stored row: a newer stored version stays, a delete ends the row, a delete without a version is ordered by the
+stream alone. With log positions (lsn) the highest wins, deletes included, and the fold is one max_by, which Spark
+aggregates before it shuffles, so a hot key costs one row a task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, DataType, DateType, DecimalType, DoubleType, FloatType, IntegralType, StringType, TimestampType
@@ -20,81 +23,107 @@ from millrace.plans.spec import TableSpec
 #: Fixed value: what stands in place of a large column that didn't change.
 UNAVAILABLE = "__debezium_unavailable_value"
 KINDS = ("change", "tombstone", "truncate", "unsupported", "dead")
+#: Texts that stand for true and false.
+TRUE, FALSE = ("1", "t", "T", "TRUE", "true", "True"), ("0", "f", "F", "FALSE", "false", "False")
+_INSTANT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
 
 
-def get(json: Column, name: str) -> Column:
-    return F.get_json_object(json, f"$.{name}")
+def get(json: Column, *path: str, as_type: str = "variant") -> Column:
+    """What stands at a path of a variant; null if nothing does, or nothing of the type."""
+    return F.try_variant_get(json, "$" + "".join(f"[{name!r}]" for name in path), as_type)
 
 
-def unwrap(json: Column) -> Column:
-    """The payload of a {"schema", "payload"} wrapper, or the document itself."""
-    names = F.json_object_keys(json)
-    wrapped = F.array_contains(names, "payload") & (F.size(names) <= 2)
-    return F.when(wrapped, get(json, "payload")).otherwise(json)
+def text_of(json: Column, *path: str) -> Column:
+    """The text at a path, if it is a JSON string."""
+    x = get(json, *path)
+    return F.when(F.schema_of_variant(x) == "STRING", get(json, *path, as_type="string"))
+
+
+def fenced(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The same rows. Conditions on these columns aren't moved below it, where they would parse the records again."""
+    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(F.struct(*columns))))
 
 
 def decode_envelope(log: DataFrame) -> DataFrame:
-    """Adds op, before, after, schema_name, table_name, lsn, poison and tombstone."""
-    body = F.when(F.try_parse_json("value").isNotNull(), unwrap(F.col("value")))
-    d = log.withColumn("body", body)
-    out = d.select(
-        *log.columns,
-        get(F.col("body"), "op").alias("op"),
-        get(F.col("body"), "before").alias("before"),
-        get(F.col("body"), "after").alias("after"),
-        get(F.col("body"), "source.schema").alias("schema_name"),
-        get(F.col("body"), "source.table").alias("table_name"),
-        get(F.col("body"), "source.lsn").try_cast("bigint").alias("lsn"),
-    )
+    """Adds op, schema_name, table_name, lsn, poison and tombstone, and before and after (variants).
+
+    A value is the event, or has it under "payload". Keys that stand twice in an object make it poison.
+    """
+    d = log.withColumn("_value", F.try_parse_json("value"))
+    d = d.withColumn("_body", F.when(get(F.col("_value"), "op").isNotNull(), F.col("_value")).otherwise(get(F.col("_value"), "payload")))
+    body = F.col("_body")
+    names = {
+        "op": text_of(body, "op"), "before": get(body, "before"), "after": get(body, "after"), "schema_name": text_of(body, "source", "schema"),
+        "table_name": text_of(body, "source", "table"), "lsn": get(body, "source", "lsn", as_type="bigint"),
+    }
+    d = d.withColumns(names).drop("_value", "_body")
     empty = F.col("value").isNull() | (F.col("value") == "")
-    return out.withColumn("tombstone", empty).withColumn("poison", ~empty & (F.col("op").isNull() | (F.col("op") == "")))
+    d = d.withColumns({"tombstone": empty, "poison": ~empty & (F.col("op").isNull() | (F.col("op") == ""))})
+    return fenced(d, [*names, "tombstone", "poison"])
 
 
-def decode_value(raw: Column, of: DataType) -> Column:
-    """Text of JSON to the type; null where it doesn't fit (see bad())."""
+def decode_value(kind: Column, raw: Column, of: DataType, json_column: bool = False) -> Column:
+    """A JSON value of a kind (as schema_of_variant names it), with its text, to the type; null where it doesn't fit."""
+    text, whole, number = kind == "STRING", kind == "BIGINT", kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    nested = kind.rlike("^(OBJECT|ARRAY)")
     if isinstance(of, DateType):
-        return F.date_from_unix_date(raw.try_cast("int"))
+        return F.when(whole, F.date_from_unix_date(raw.try_cast("int")))
     if isinstance(of, TimestampType):
-        return F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"), F.try_to_timestamp(raw))
+        return F.when(text & raw.rlike(_INSTANT), F.try_to_timestamp(raw))
     if isinstance(of, BinaryType):
-        return F.try_to_binary(raw, F.lit("base64"))
+        return F.when(text, F.try_to_binary(raw, F.lit("base64")))
     if isinstance(of, BooleanType):
-        return F.when(raw.isin("true", "false"), raw == "true")
+        return F.when((kind == "BOOLEAN") | text, F.when(raw.isin(*TRUE), True).when(raw.isin(*FALSE), False)).when(whole, raw != "0")
     if isinstance(of, IntegralType):
-        return F.when(raw.rlike(r"^[+-]?\d+(\.0+)?$"), F.regexp_replace(raw, r"\.0+$", "").try_cast(of))
+        return F.when((whole | text | kind.rlike(r"^DECIMAL\(\d+,0\)$")) & raw.rlike(r"^[+-]?\d+$"), raw.try_cast(of))
     if isinstance(of, FloatType | DoubleType | DecimalType):
-        return raw.try_cast(of)
-    return raw
-
-
-def decode_row(image: Column, spec: TableSpec) -> tuple[Column, Column]:
-    """The row as a struct of the spec's columns (unknown ones ignored), and the names of columns that don't decode."""
-    fields, bad = [], []
-    for f in spec.schema.fields:
-        raw = get(image, f.name)
-        value = decode_value(raw, f.dataType)
-        fields.append(value.alias(f.name))
-        wrong = raw.isNotNull() & value.isNull() | (raw == UNAVAILABLE)
-        if isinstance(f.dataType, StringType):
-            wrong = wrong | F.contains(raw, F.char(F.lit(0)))
-        bad.append(F.when(wrong, F.lit(f.name)))
-    return F.when(image.isNotNull(), F.struct(*fields)), F.filter(F.array(*bad), lambda x: x.isNotNull())
+        return F.when(number | text, raw.try_cast(of))
+    if json_column:
+        return raw
+    return F.when(~nested, raw)
+
+
+def decode_rows(d: DataFrame, images: dict[str, Column], spec: TableSpec) -> DataFrame:
+    """Adds for each image (a variant of a row) `<name>_row`, a struct of the spec's columns, null without a row, and
+    `<name>_bad`, the names of columns that don't decode. Unknown columns are ignored, missing ones are null."""
+    fields = spec.schema.fields
+    at = {(n, f.name): f"_{n}_{i}" for n in images for i, f in enumerate(fields)}
+    d = d.withColumns({f"_{n}": c for n, c in images.items()})
+    d = d.withColumns({at[n, f.name]: get(F.col(f"_{n}"), f.name) for n in images for f in fields})
+    d = d.withColumns({f"{c}{end}": x for c in at.values() for end, x in (("k", F.schema_of_variant(c)), ("t", F.try_variant_get(c, "$", "string")))})
+    decoded, wrong = {}, {}
+    for n in images:
+        for f in fields:
+            kind, raw = F.col(f"{at[n, f.name]}k"), F.col(f"{at[n, f.name]}t")
+            decoded[f"{at[n, f.name]}v"] = decode_value(kind, raw, f.dataType, spec.kinds.get(f.name) == "json")
+            value = F.col(f"{at[n, f.name]}v")
+            text = kind == "STRING"
+            refused = (kind != "VOID") & value.isNull() | text & (raw == UNAVAILABLE)
+            if isinstance(f.dataType, StringType):
+                refused = refused | text & F.contains(raw, F.char(F.lit(0)))
+            wrong[n, f.name] = F.when(refused, F.lit(f.name))
+    d = d.withColumns(decoded)
+    out = {}
+    for n in images:
+        out[f"{n}_row"] = F.when(F.col(f"_{n}").isNotNull() & ~F.is_variant_null(f"_{n}"), F.struct(*[F.col(f"{at[n, f.name]}v").alias(f.name) for f in fields]))
+        out[f"{n}_bad"] = F.filter(F.array(*[wrong[n, f.name] for f in fields]), lambda x: x.isNotNull())
+    d = d.withColumns(out)
+    own = [f"_{n}" for n in images] + [f"{c}{end}" for c in at.values() for end in ("", "k", "t", "v")]
+    return fenced(d.drop(*own), list(out))
 
 
 def classify(log: DataFrame, spec: TableSpec, source_schema: str | None = None) -> DataFrame:
     """Adds kind, reason, is_delete, row, row_key, version. A reason has names of columns, never their values."""
-    d = decode_envelope(log)
-    row, bad = decode_row(F.col("after"), spec)
-    old, bad_old = decode_row(F.col("before"), spec)
-    key_row, _ = decode_row(unwrap(F.col("key")), spec)
+    d = decode_envelope(log).withColumn("_parsed", F.try_parse_json("key"))
+    parsed = F.col("_parsed")
+    key = F.when(get(parsed, spec.id_col).isNull() & get(parsed, "payload").isNotNull(), get(parsed, "payload")).otherwise(parsed)
+    d = decode_rows(d, {"new": F.col("after"), "old": F.col("before"), "key": key}, spec).drop("_parsed")
     d = d.withColumn("is_delete", F.col("op") == "d")
-    id_of = lambda r: r[spec.id_col]
-    d = d.withColumns({"_row": row, "_bad": bad, "_old": old, "_bad_old": bad_old, "_key": key_row})
-    full_old = F.col("_old").isNotNull() & (F.size("_bad_old") == 0) & id_of(F.col("_old")).isNotNull()
-    d = d.withColumn("row", F.when(F.col("is_delete"), F.when(full_old, F.col("_old")).otherwise(F.col("_key"))).otherwise(F.col("_row")))
-    d = d.withColumn("row_key", id_of(F.col("row")).cast("string"))
+    id_of = lambda r: F.col(r)[spec.id_col]
+    full_old = F.col("old_row").isNotNull() & (F.size("old_bad") == 0) & id_of("old_row").isNotNull()
+    d = d.withColumn("row", F.when(F.col("is_delete"), F.when(full_old, F.col("old_row")).otherwise(F.col("key_row"))).otherwise(F.col("new_row")))
     version = F.col("row")[spec.version_col].cast("bigint") if spec.version_col else F.lit(None).cast("bigint")
-    d = d.withColumn("version", F.when(F.col("is_delete") & ~full_old, F.lit(None)).otherwise(version))
+    d = d.withColumns({"row_key": id_of("row").cast("string"), "version": F.when(F.col("is_delete") & ~full_old, F.lit(None)).otherwise(version)})
     no_key = F.col("row_key").isNull() | F.col("row_key").isin("", "0")
     foreign = F.col("table_name").isNotNull() & (F.col("table_name") != spec.name)
     if source_schema:
@@ -104,12 +133,13 @@ def classify(log: DataFrame, spec: TableSpec, source_schema: str | None = None)
         F.when(F.col("tombstone"), F.lit(None))
         .when(F.col("poison"), F.lit("not a change event"))
         .when(foreign, F.lit("of another table"))
-        .when(known & ~F.col("is_delete") & F.col("after").isNull(), F.lit("no row"))
-        .when(known & ~F.col("is_delete") & (F.size("_bad") > 0), F.concat(F.lit("columns: "), F.array_join("_bad", ",")))
+        .when(known & ~F.col("is_delete") & F.col("new_row").isNull(), F.lit("no row"))
+        .when(known & ~F.col("is_delete") & (F.size("new_bad") > 0), F.concat(F.lit("columns: "), F.array_join("new_bad", ",")))
         .when(known & no_key, F.lit("no key"))
     )
-    kind = F.when(F.col("tombstone"), "tombstone").when(reason.isNotNull(), "dead").when(F.col("op") == "t", "truncate").when(~known, "unsupported").otherwise("change")
-    return d.withColumn("reason", reason).withColumn("kind", kind).drop("_row", "_bad", "_old", "_bad_old", "_key")
+    kind = F.when(F.col("tombstone"), "tombstone").when(F.col("reason").isNotNull(), "dead").when(F.col("op") == "t", "truncate").when(~known, "unsupported").otherwise("change")
+    d = d.withColumn("reason", reason).withColumn("kind", kind).drop("new_row", "new_bad", "old_row", "old_bad", "key_row", "key_bad")
+    return fenced(d, ["row", "row_key", "version", "is_delete", "reason", "kind"])
 
 
 def violations(checks: dict[str, str]) -> Column:
@@ -117,29 +147,56 @@ def violations(checks: dict[str, str]) -> Column:
     return F.filter(F.array(*[F.when(~F.expr(c), F.lit(n)) for n, c in checks.items()]), lambda x: x.isNotNull()) if checks else F.array().cast("array<string>")
 
 
+def survivors(changes: DataFrame, stored: DataFrame, spec: TableSpec) -> DataFrame:
+    """changes(row_key, offset, is_delete, version) on stored(columns) -> row_key, offset, kept: which changes take effect.
+
+    Stored null versions are oldest; an incoming null loses to any stored value; equal versions: the incoming wins.
+    A key's changes come to one task in order, after its stored row, one batch at a time; only its version is kept between them.
+    """
+    version = lambda c: (c.isNotNull().alias("has"), F.coalesce(c, F.lit(0)).cast("bigint").alias("v"))
+    keys = changes.select("row_key").distinct()
+    held = F.col(spec.version_col).cast("bigint") if spec.version_col else F.lit(None).cast("bigint")
+    have = stored.select(F.col(spec.id_col).cast("string").alias("row_key"), F.lit(-1).cast("bigint").alias("offset"), F.lit(False).alias("gone"), *version(held), F.lit(True).alias("held"))
+    rows = changes.select("row_key", F.col("offset").cast("bigint").alias("offset"), F.col("is_delete").alias("gone"), *version(F.col("version")), F.lit(False).alias("held"))
+    rows = rows.union(have.join(keys, "row_key", "left_semi")).repartition("row_key").sortWithinPartitions("row_key", F.desc("held"), "offset")
+    versioned = spec.version_col is not None
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, present, at = None, False, None
+        for b in batches:
+            kept = []
+            for k, gone, has, v, held in zip(b["row_key"], b["gone"], b["has"], b["v"], b["held"], strict=True):
+                if k != key:
+                    key, present, at = k, False, None
+                guarded = versioned and not held and present and at is not None
+                stale = guarded and (has and v != 0 and at > v if gone else not has or at > v)
+                if not stale:
+                    present, at = not gone, v if has and not gone else None
+                kept.append(not stale)
+            yield b.loc[~b["held"].to_numpy(bool), ["row_key", "offset"]].assign(kept=[x for x, h in zip(kept, b["held"], strict=True) if not h])
+
+    return rows.mapInPandas(judge, "row_key string, offset long, kept boolean")
+
+
 def fold(changes: DataFrame, stored: DataFrame, spec: TableSpec) -> DataFrame:
     """changes(row_key, offset, is_delete, version, row) on stored(columns) -> row_key, present, row, kept (surviving changes).
 
-    Stored null versions are oldest; an incoming null loses to any stored value; equal versions: the incoming wins.
+    row is that of the last surviving change (of a delete, its image or key), or the stored one if none survives.
     """
-    cols = [f.name for f in spec.schema.fields]
-    item = F.struct("offset", "is_delete", "version", "row")
-    by_key = changes.groupBy("row_key").agg(F.array_sort(F.collect_list(item)).alias("changes"))
-    have = stored.select(F.col(spec.id_col).cast("string").alias("_k"), F.struct(*cols).alias("_stored"))
-    both = by_key.join(have, F.col("row_key") == F.col("_k"), "left")
-    stored_version = F.col("_stored")[spec.version_col].cast("bigint") if spec.version_col else F.lit(None).cast("bigint")
-    start = F.struct(F.col("_stored").isNotNull().alias("present"), stored_version.alias("version"), F.col("_stored").alias("row"), F.lit(0).cast("bigint").alias("kept"))
-
-    def step(acc: Column, x: Column) -> Column:
-        guarded = acc["present"] & acc["version"].isNotNull()
-        stale_delete = guarded & x["version"].isNotNull() & (x["version"] != 0) & (acc["version"] > x["version"])
-        stale_write = guarded & (x["version"].isNull() | (acc["version"] > x["version"]))
-        dropped = F.when(x["is_delete"], stale_delete).otherwise(stale_write if spec.version_col else F.lit(False))
-        gone = F.struct(F.lit(False).alias("present"), F.lit(None).cast("bigint").alias("version"), acc["row"].alias("row"), (acc["kept"] + 1).alias("kept"))
-        put = F.struct(F.lit(True).alias("present"), x["version"].alias("version"), x["row"].alias("row"), (acc["kept"] + 1).alias("kept"))
-        return F.when(dropped, acc).when(x["is_delete"], gone).otherwise(put)
-
-    return both.select("row_key", F.aggregate("changes", start, step).alias("s")).select("row_key", "s.present", "s.row", "s.kept")
+    by_key = survivors(changes, stored, spec).groupBy("row_key").agg(F.max(F.when(F.col("kept"), F.col("offset"))).alias("offset"), F.count_if("kept").alias("kept"))
+    last = by_key.join(changes.select("row_key", F.col("offset").cast("bigint").alias("offset"), "is_delete", "row"), ["row_key", "offset"], "left")
+    have = stored.select(F.col(spec.id_col).cast("string").alias("_k"), F.struct(*[f.name for f in spec.schema.fields]).alias("_stored"))
+    both = last.join(have, F.col("row_key") == F.col("_k"), "left")
+    some = F.col("kept") > 0
+    return both.select("row_key", F.when(some, ~F.col("is_delete")).otherwise(F.col("_stored").isNotNull()).alias("present"), F.when(some, F.col("row")).otherwise(F.col("_stored")).alias("row"), "kept")
+
+
+def feed(changes: DataFrame, stored: DataFrame, spec: TableSpec) -> DataFrame:
+    """One event for each surviving change but those of snapshots: row_key, offset, event (created, updated, deleted), row."""
+    kept = survivors(changes, stored, spec).where("kept").select("row_key", "offset")
+    event = F.when(F.col("op") == "c", "created").when(F.col("op") == "u", "updated").when(F.col("op") == "d", "deleted")
+    told = changes.where("op <> 'r'").withColumn("offset", F.col("offset").cast("bigint"))
+    return told.join(kept, ["row_key", "offset"], "left_semi").select("row_key", "offset", event.alias("event"), "row")
 
 
 def newest(changes: DataFrame, by_lsn: bool) -> DataFrame:
@@ -157,9 +214,9 @@ def apply_rows(stored: DataFrame, result: DataFrame, spec: TableSpec) -> DataFra
 
 
 def claim(incoming: DataFrame, state: DataFrame) -> DataFrame:
-    """Of incoming(row_key, lsn, ...), those at or above the position that state(row_key, lsn) has for the key."""
+    """Of incoming(row_key, lsn, ...), those at or above the position that state(row_key, lsn) has for the key, or without one."""
     s = state.select(F.col("row_key").alias("_k"), F.col("lsn").alias("_lsn"))
-    return incoming.join(s, F.col("row_key") == F.col("_k"), "left").where("_lsn is null or _lsn <= lsn").drop("_k", "_lsn")
+    return incoming.join(s, F.col("row_key") == F.col("_k"), "left").where("_lsn is null or lsn is null or _lsn <= lsn").drop("_k", "_lsn")
 
 
 def advance(log: DataFrame, stored: DataFrame | None = None) -> DataFrame:
