@@ -1,16 +1,17 @@
 import json
 import random
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, DateType, DoubleType, LongType, ShortType, StringType, StructField, StructType, TimestampType
 
 from millrace.functions import rates
 from millrace.operators import cdc
 from millrace.plans.spec import TableSpec
 from millrace.sources import changelog
 from millrace.sources.store import Conflict, VersionedStore
+from millrace.streaming import replicate as stream
 from millrace.streaming.replicate import replicate
 
 SCHEMA = StructType([StructField("id", LongType()), StructField("owner", StringType()), StructField("version", LongType())])
@@ -72,32 +73,201 @@ def test_classify(spark, value, kind):
     assert "secret-value" not in (row.reason or "")
 
 
+KINDS = StructType([StructField(n, t) for n, t in {"id": LongType(), "small": ShortType(), "whole": LongType(), "real": DoubleType(), "yes": BooleanType(), "text": StringType(), "doc": StringType(), "at": TimestampType(), "day": DateType(), "raw": BinaryType()}.items()])
+KIND_SPEC = TableSpec("kinds", "id", KINDS, kinds={"doc": "json"})
+INSTANT = datetime(2025, 7, 8, 9, 10, 11)
+ACCEPTED = [
+    ("text", '"plain"', "plain"), ("text", '""', ""), ("text", '"日本 🎈 ñ"', "日本 🎈 ñ"), ("text", r'"a\"b\\c\nd\te"', 'a"b\\c\nd\te'), ("text", '"' + "y" * 70000 + '"', "y" * 70000), ("text", "null", None), ("text", "17", "17"), ("text", "true", "true"),
+    ("small", "32767", 32767), ("small", "-32768", -32768), ("small", '"12"', 12), ("small", "null", None), ("whole", "9223372036854775807", 2**63 - 1), ("whole", "-9223372036854775808", -(2**63)), ("whole", "0", 0), ("whole", '"456"', 456), ("whole", "9007199254740993", 2**53 + 1),
+    ("real", "2.718281828459045", 2.718281828459045), ("real", "4", 4.0), ("real", "2.5e3", 2500.0), ("real", "-0.125", -0.125), ("real", '"7.5"', 7.5), ("real", "null", None),
+    ("yes", "true", True), ("yes", "false", False), ("yes", '"t"', True), ("yes", "null", None),
+    ("doc", '{"a": [1, {"b": null}]}', '{"a":[1,{"b":null}]}'), ("doc", "[3,4]", "[3,4]"), ("doc", '"{\\"k\\": 1}"', '{"k": 1}'), ("doc", '"42"', "42"),
+    ("at", '"2025-07-08T09:10:11Z"', INSTANT), ("at", '"2025-07-08T09:10:11.250001Z"', INSTANT.replace(microsecond=250001)), ("at", '"2025-07-08T17:10:11+08:00"', INSTANT), ("at", "null", None),
+    ("day", "20000", date(2024, 10, 4)), ("day", "0", date(1970, 1, 1)), ("day", "-1", date(1969, 12, 31)), ("day", "null", None), ("raw", '"AQIDBA=="', b"\x01\x02\x03\x04"), ("raw", '""', b""), ("raw", "null", None), ("nope", "1", None),
+]
+REFUSED = [
+    ("whole", '"many"'), ("whole", "{}"), ("whole", "[1]"), ("whole", "true"), ("whole", "1.5"), ("whole", '"1.5"'), ("whole", "9223372036854775808"), ("whole", "-9223372036854775809"), ("small", "32768"), ("small", '"__debezium_unavailable_value"'),
+    ("text", '{"a": 1}'), ("text", "[1, 2]"), ("text", '"__debezium_unavailable_value"'), ("text", r'"a\u0000b"'), ("doc", '"__debezium_unavailable_value"'), ("at", "{}"), ("at", "1700000000000"), ("at", '"yesterday"'), ("at", '"2025-07-08 09:10:11"'),
+    ("yes", '"perhaps"'), ("yes", "[true]"), ("raw", '"!!!"'), ("raw", "5"), ("day", "1.5"), ("day", '"not a date"'), ("real", '"x"'), ("real", "{}"),
+]
+
+
+def images(spark, values):
+    rows = [("kinds", 0, i, json.dumps({"id": i + 1}), v, [], datetime(2024, 1, 1)) for i, v in enumerate(values)]
+    return {r.offset: r for r in cdc.classify(spark.createDataFrame(rows, changelog.SCHEMA), KIND_SPEC).select("offset", "kind", "reason", "row").collect()}
+
+
+def test_accepted_forms(spark):
+    got = images(spark, [f'{{ "op":"c", "after": {{"{c}" : {v}, "id":{i + 1}}} }}' for i, (c, v, _) in enumerate(ACCEPTED)])
+    for i, (c, v, want) in enumerate(ACCEPTED):
+        assert got[i].kind == "change", (c, v, got[i].reason)
+        if c != "nope":
+            assert got[i].row[c] == want, (c, v)
+
+
+def test_refused_forms(spark):
+    got = images(spark, [f'{{"op":"u","after":{{"id":{i + 1},"{c}":{v}}}}}' for i, (c, v) in enumerate(REFUSED)])
+    for i, (c, v) in enumerate(REFUSED):
+        assert (got[i].kind, got[i].reason) == ("dead", f"columns: {c}"), (c, v)
+    whole = ["null", "", '"x"', "5", "[1]", '{"id":1,"text":', "{id:1}", '{"text":"x"}', '{"id":0}', '{"id":null}']
+    assert {r.kind for r in images(spark, [f'{{"op":"u","after":{x}}}' for x in whole]).values()} == {"dead"}
+
+
+@pytest.mark.parametrize("value", ["nope", '{"op":"c","after":', "[1,2]", '"hello"', "42", "null", "{}", '{"after":{"id":1}}', '{"payload":{"x":1}}', '{"schema":{"type":"struct"}}', '{"op":5}', 'x{"op":"c"}', "<html></html>", "  \n ", '{"payload":{"payload":{"op":"c"}}}'])
+def test_not_an_event(spark, value):
+    assert images(spark, [value])[0].reason == "not a change event"
+
+
+def test_one_parse_a_record(spark):
+    """However a consumer filters, the optimized plan parses value and key once."""
+    log = spark.createDataFrame(history(1, 5), changelog.SCHEMA)
+    before = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    plan = cdc.classify(log, SPEC).where("kind = 'change' and not is_delete").select("offset", "row.*")._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.debug.maxToStringFields", before)
+    assert plan.count("parseJson") == 2
+    assert plan.count("variant_get") < 40
+
+
 def test_stream_is_exactly_once_in_effect(spark, tmp_path):
     records = history(7, 90)
     log = str(tmp_path / "log")
     bad = [record(90, "c", 99, 13), record(91, "c", 98, 1, value="{broken")]
     for part in (records[:40], records[30:70], records[70:] + bad):  # the second file redelivers ten
         changelog.publish(spark.createDataFrame(part, changelog.SCHEMA).coalesce(1), log)
-    store = VersionedStore(spark, str(tmp_path / "replica"))
+    store = VersionedStore(spark, str(tmp_path / "replica"), buckets=4)
     for _ in range(2):  # started anew, nothing is applied twice
-        replicate(spark, log, store, SPEC, str(tmp_path / "dlq"), str(tmp_path / "ckpt")).awaitTermination()
+        replicate(spark, log, store, SPEC, str(tmp_path / "ckpt")).awaitTermination()
     assert store.version() == 3
     assert {r.id: (r.owner, r.version) for r in store.read("data").collect()} == model(records)
-    letters = changelog.read_dead_letters(changelog.read_log(spark, str(tmp_path / "dlq"))).withColumn("reason", changelog.header("dlq.reason")).collect()
+    dead = store.read("letters", changelog.SCHEMA)
+    letters = changelog.read_dead_letters(dead).withColumn("reason", changelog.header("dlq.reason")).collect()
     assert [(x.offset, x.reason) for x in letters] == [(90, "checks: not 13"), (91, "not a change event")]
     assert store.read("checkpoints").first().next_offset == 92
     with pytest.raises(changelog.TooMany):
-        changelog.read_dead_letters(changelog.read_log(spark, str(tmp_path / "dlq")), limit=1)
+        changelog.read_dead_letters(dead, limit=1)
+
+
+@pytest.mark.parametrize("fails_at", range(1, 6))
+def test_a_crash_between_any_two_steps(spark, tmp_path, monkeypatch, fails_at):
+    """Tables are written one by one, then the manifest: whatever step fails, the next run leaves what one run would."""
+    records = [*history(3, 30), record(30, "c", 97, 1, value="{broken")]
+    batch = spark.createDataFrame(records, changelog.SCHEMA)
+    store, calls = VersionedStore(spark, str(tmp_path / "r"), buckets=4), []
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    write = DataFrame.write
+
+    def failing(self):
+        calls.append(1)
+        if len(calls) == fails_at:
+            raise OSError("crash")
+        return write.fget(self)
+
+    monkeypatch.setattr(DataFrame, "write", property(failing))
+    if fails_at == 5:
+        monkeypatch.setattr(store, "_path", lambda p, real=store._path: (_ for _ in ()).throw(OSError("crash")) if p.endswith(".tmp") else real(p))
+    with pytest.raises(OSError, match="crash"):
+        stream.apply_batch(batch, 0, store, SPEC)
+    monkeypatch.undo()
+    assert store.version() == 0
+    assert store.read("letters") is None
+    totals = stream.apply_batch(batch, 0, store, SPEC)
+    assert (totals["records"], totals["dead_lettered"]) == (31, 1)
+    assert {r.id: (r.owner, r.version) for r in store.read("data").collect()} == model(records[:30])
+    assert store.read("letters").count() == 1
+
+
+def test_only_touched_buckets_are_rewritten(spark, tmp_path):
+    store = VersionedStore(spark, str(tmp_path / "r"), buckets=16)
+    first = [record(i, "c", i + 1, 1) for i in range(40)]
+    stream.apply_batch(spark.createDataFrame(first, changelog.SCHEMA), 0, store, SPEC)
+    before = store.manifest()["paths"]["data"]
+    stream.apply_batch(spark.createDataFrame([record(40, "u", 7, 2, "new"), record(41, "d", 8, 2)], changelog.SCHEMA), 1, store, SPEC)
+    after = store.manifest()["paths"]["data"]
+    assert 1 <= sum(before[b] != after.get(b) for b in before) <= 2
+    rows = {r.id: r.owner for r in store.read("data").collect()}
+    assert rows == {i: "new" if i == 7 else "x" for i in range(1, 41) if i != 8}
+
+
+def test_positions_below_a_row_s_own_are_refused(spark, tmp_path):
+    """Two logs of one table: the later one has older positions, which don't undo what is there."""
+    store = VersionedStore(spark, str(tmp_path / "r"), buckets=2)
+    spec = TableSpec("accounts", "id", SCHEMA)
+    other = lambda r, partition: (r[0], partition, *r[2:])
+    stream.apply_batch(spark.createDataFrame([record(9, "u", 1, 5, "newest"), record(10, "d", 2)], changelog.SCHEMA), 0, store, spec)
+    totals = stream.apply_batch(spark.createDataFrame([other(record(3, "u", 1, 4, "older"), 1), other(record(4, "u", 2, 4, "back"), 1), other(record(5, "c", 3, 1, "own"), 1)], changelog.SCHEMA), 1, store, spec)
+    assert totals["applied"] == 1
+    assert {r.id: r.owner for r in store.read("data").collect()} == {1: "newest", 3: "own"}
+
+
+def test_offsets_that_start_anew_stop_the_stream(spark, tmp_path):
+    store = VersionedStore(spark, str(tmp_path / "r"), buckets=2)
+    stream.apply_batch(spark.createDataFrame(history(1, 20), changelog.SCHEMA), 0, store, SPEC)
+    with pytest.raises(stream.OffsetRegression):
+        stream.apply_batch(spark.createDataFrame([record(2, "c", 1, 1, at=5000)], changelog.SCHEMA), 1, store, SPEC)
+    assert store.version() == 1
+
+
+def test_schema_change_in_the_stream(spark, tmp_path):
+    """An unknown column is ignored and a missing one null; a table that lacks a column of the spec stalls until it has it."""
+    from millrace.operators import schema
+
+    store = VersionedStore(spark, str(tmp_path / "r"), buckets=2)
+    stream.apply_batch(spark.createDataFrame([record(0, "c", 1, 1)], changelog.SCHEMA), 0, store, SPEC)
+    wider = TableSpec("accounts", "id", StructType([*SCHEMA.fields, StructField("city", StringType())]), version_col="version")
+    value = json.dumps({"op": "c", "after": {"id": 2, "owner": "y", "version": 1, "city": "Bern", "unknown": [1]}})
+    batch = spark.createDataFrame([record(1, "c", 2, value=value), record(2, "c", 3, 1)], changelog.SCHEMA)
+    with pytest.raises(stream.TargetBehind, match="city"):
+        stream.apply_batch(batch, 1, store, wider)
+    assert cdc.missing_columns(wider, store.read("data")) == ["city"]
+    store.commit({"data": schema.align(store.read("data", SCHEMA), wider.schema)}, 0, {"data": ("id", [0, 1])})
+    stream.apply_batch(batch, 1, store, wider)
+    assert {r.id: r.city for r in store.read("data").collect()} == {1: None, 2: "Bern", 3: None}
+
+
+def test_snapshot_then_changes_in_one_pass(spark, tmp_path):
+    store = VersionedStore(spark, str(tmp_path / "r"), buckets=2)
+    batch = [*(record(i, "r", i + 1, 1, "snap") for i in range(5)), record(5, "u", 2, 2, "live"), record(6, "d", 3, 1), record(7, "c", 9, 1, "live")]
+    log = spark.createDataFrame(batch, changelog.SCHEMA)
+    stream.apply_batch(log, 0, store, SPEC)
+    assert {r.id: r.owner for r in store.read("data").collect()} == {1: "snap", 2: "live", 4: "snap", 5: "snap", 9: "live"}
+    events = cdc.feed(cdc.classify(log, SPEC).where("kind = 'change'"), spark.createDataFrame([], SCHEMA), SPEC).collect()
+    assert sorted((r.offset, r.event) for r in events) == [(5, "updated"), (6, "deleted"), (7, "created")]
 
 
 def test_second_writer_loses(spark, tmp_path):
-    store = VersionedStore(spark, str(tmp_path / "s"), parts=("data",))
-    df = spark.range(3)
-    store.commit({"data": df}, 0)
-    late = VersionedStore(spark, str(tmp_path / "s"), parts=("data",))
-    late.version = lambda: 0
+    """Two writers with different rows: the manifest that was first stays, with its own rows."""
+    store = VersionedStore(spark, str(tmp_path / "s"))
+    base = store.manifest()
+    store.commit({"data": spark.range(3)}, 0, base=base)
     with pytest.raises(Conflict):
-        late.commit({"data": df}, 1)
+        VersionedStore(spark, str(tmp_path / "s")).commit({"data": spark.range(100, 107)}, 1, base=base)
+    assert sorted(r.id for r in store.read("data").collect()) == [0, 1, 2]
+    assert store.manifest()["batch"] == 0
+
+
+def test_attempts_and_quarantine(spark, tmp_path):
+    waits, calls = [], []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError
+        return "done"
+
+    assert stream.attempted(flaky, sleep=waits.append) == "done"
+    assert waits == [0.2, 0.4]
+    with pytest.raises(ZeroDivisionError):
+        stream.attempted(lambda: 1 / 0, sleep=waits.append)
+
+    def handler(r):
+        if r["offset"] % 4 == 1:
+            raise ValueError(f"a secret of {r['key']}")
+
+    parked = stream.deliver(spark.createDataFrame(history(2, 12), changelog.SCHEMA), handler, "g", first_wait=0.001)
+    got = parked.select("offset", "topic", changelog.header("dlq.reason").alias("reason"), changelog.header("dlq.attempts").alias("attempts")).orderBy("offset").collect()
+    assert [tuple(r) for r in got] == [(i, "bank.public.accounts.dlq", "ValueError", "3") for i in (1, 5, 9)]
 
 
 def test_token_bucket_against_a_loop(spark):
