@@ -62,10 +62,13 @@ def after(df: DataFrame, sort: Sort, values: list, backward: bool = False) -> Co
     return reduce(or_, ways) if ways else F.lit(False)
 
 
+def _text(v: object) -> str:
+    return v.isoformat() if isinstance(v, date | datetime) else repr(v) if isinstance(v, float) else str(v)
+
+
 def encode(row: Row, sort: Sort, backward: bool = False) -> str:
-    text = lambda v: v.isoformat() if isinstance(v, date | datetime) else repr(v) if isinstance(v, float) else str(v)
     values = [row[n] for n, _ in sort]
-    body = {"v": ["" if v is None else text(v) for v in values], "n": [v is None for v in values], "b": backward}
+    body = {"v": ["" if v is None else _text(v) for v in values], "n": [v is None for v in values], "b": backward}
     return quote(base64.b64encode(json.dumps(body).encode()).decode())
 
 
@@ -108,25 +111,52 @@ def paginate(df: DataFrame, spec: TableSpec, request: dict | None = None, page_s
     return Page(project(page) if project else page, encode(rows[-1], sort) if rows and forward else None, encode(rows[0], sort, True) if rows and behind else None)
 
 
-def find(df: DataFrame, spec: TableSpec, request: dict | None = None, limit: int | None = FIND, scope: dict | None = None) -> DataFrame:
-    """The first rows by the order; limit None: all."""
-    sort = total_order(df, spec, (request or {}).get("sortFields"))
+Project = Callable[[DataFrame], DataFrame]
+
+
+def find(df: DataFrame, spec: TableSpec, request: dict | None = None, limit: int | None = FIND, scope: dict | None = None, project: Project | None = None) -> DataFrame:
+    """The first rows by the order; limit None: all. project: what callers get to see of the rows, as with all readers."""
+    sort = total_order(df, spec, (request or {}).get("sortFields") or (scope or {}).get("sortFields"))
     rows = apply(df, spec, scope, request).orderBy(*order_by(sort))
-    return rows if limit is None else rows.limit(limit)
+    rows = rows if limit is None else rows.limit(limit)
+    return project(rows) if project else rows
 
 
-def get_by_id(df: DataFrame, spec: TableSpec, value: object) -> DataFrame:
-    return df.where(F.col(f"`{spec.id_col}`") == F.lit(value)).limit(1)
+def get_by_id(df: DataFrame, spec: TableSpec, value: object, project: Project | None = None) -> DataFrame:
+    row = df.where(F.col(f"`{spec.id_col}`") == F.lit(value)).limit(1)
+    return project(row) if project else row
 
 
-def row_at_extreme(df: DataFrame, spec: TableSpec, field: str, largest: bool = True) -> DataFrame:
+def row_at_extreme(df: DataFrame, spec: TableSpec, field: str, largest: bool = True, project: Project | None = None) -> DataFrame:
     """The whole row with the largest or smallest value, nulls last, ties by the largest key."""
-    return df.orderBy(*order_by([(field, "desc" if largest else "asc"), (spec.id_col, "desc")])).limit(1)
+    row = df.orderBy(*order_by([(field, "desc" if largest else "asc"), (spec.id_col, "desc")])).limit(1)
+    return project(row) if project else row
+
+
+def _edges(df: DataFrame, sort: Sort, buckets: int) -> list[list]:
+    """The last row's sort values of each of at most so many ranges of the order but the last."""
+    keys = df.select(*[F.col(f"`{n}`") for n, _ in sort])
+    parts = keys.repartitionByRange(buckets, *order_by(sort)).withColumn("_part", F.spark_partition_id())
+    last = parts.withColumn("_last", F.row_number().over(W.partitionBy("_part").orderBy(*order_by(sort, True)))).where("_last = 1")
+    rows = [r for r in last.orderBy("_part").collect()]
+    return [[None if r[n] is None else _text(r[n]) for n, _ in sort] for r in rows[:-1]]
 
 
 def page_numbers(df: DataFrame, sort: Sort, size: int, buckets: int = 64) -> DataFrame:
-    """All pages at once: rows are cut into ranges of the order, numbered there, and the ranges' sizes are added up."""
-    parts = df.repartitionByRange(buckets, *order_by(sort)).withColumn("_part", F.spark_partition_id())
+    """All pages at once: rows are cut into ranges of the order, numbered there, and the ranges' sizes are added up.
+
+    The ranges' edges are found once and are constants of the plan, so that sizes and rows are of the same ranges. The sort
+    must be a total order. Rows of one range are numbered in one task.
+    """
+    edges = _edges(df, sort, buckets)
+
+    def place(lo: int, hi: int) -> Column:  # how many edges a row is beyond, by halving
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(after(df, sort, edges[mid]), place(mid + 1, hi)).otherwise(place(lo, mid))
+
+    parts = df.withColumn("_part", place(0, len(edges)))
     sizes = parts.groupBy("_part").count()
     before = sizes.withColumn("_before", F.coalesce(F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
     rank = F.row_number().over(W.partitionBy("_part").orderBy(*order_by(sort)))
