@@ -41,10 +41,28 @@ def slug(c: Column, sep: str = "-") -> Column:
 
 
 def truncate(c: Column, n: int) -> Column:
-    """At most n bytes and "...", cut on a character's boundary."""
-    cut = F.substring(F.encode(c, "UTF-8"), 1, n)
-    whole = F.regexp_replace(F.make_valid_utf8(cut.cast("string")), "�+$", "")
-    return F.when(F.octet_length(c) <= n, c).otherwise(F.concat(whole, F.lit("...")))
+    """At most n bytes and "...", cut on a character's boundary. Bytes that aren't UTF-8 are dropped, characters never."""
+    clean = F.when(F.is_valid_utf8(c), c).otherwise(_without_invalid(c))
+    raw = F.encode(clean, "UTF-8")
+    # a character's later bytes are 80 to BF: the cut moves left past them
+    byte = lambda i: F.conv(F.hex(F.substring(raw, i, 1)), 16, 10).cast("int")
+    within = lambda i: (byte(i) >= 0x80) & (byte(i) < 0xC0)
+    keep = F.when(~within(n + 1), n).when(~within(n), n - 1).when(~within(n - 1), n - 2).otherwise(n - 3)
+    cut = F.decode(F.substring(raw, F.lit(1), F.greatest(keep, F.lit(0))), "UTF-8")
+    return F.when(F.octet_length(clean) <= n, clean).otherwise(F.concat(cut, F.lit("...")))
+
+
+def _without_invalid(c: Column) -> Column:
+    """Text without bytes that aren't UTF-8: the text's own replacement characters are kept apart meanwhile."""
+    mark = "\ue000\ufff8\ue001"
+    apart = F.replace(F.make_valid_utf8(F.replace(c, F.lit("\ufffd"), F.lit(mark))), F.lit("\ufffd"), F.lit(""))
+    return F.replace(apart, F.lit(mark), F.lit("\ufffd"))
+
+
+def label(c: Column, n: int = 128) -> Column:
+    """A label's value: without control characters, at most n bytes, cut on a character's boundary, nothing added."""
+    short = truncate(strip_control(c), n)
+    return F.when(F.octet_length(strip_control(c)) <= n, short).otherwise(F.substring(short, F.lit(1), F.length(short) - 3))
 
 
 def strip_control(c: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.plans.spec import Relation, TableSpec
+from millrace.sources.files import shared_folder
 
 
 def preload(df: DataFrame, relation: Relation, other: DataFrame) -> DataFrame:
@@ -53,6 +54,35 @@ def differing(key: str, columns: list[str], want: DataFrame, have: DataFrame) ->
     return out.where(F.col("state").isNotNull())
 
 
+def in_sync(key: str, columns: list[str], source: DataFrame, replica: DataFrame) -> DataFrame:
+    """One row: n_source, n_replica, missing, extra, changed, in_sync. Equal digests of equal numbers of rows end it early."""
+    a, b = (digest(df, [key, *columns]) for df in (source, replica))
+    if a.exceptAll(b).isEmpty():
+        return a.select(F.col("n_rows").alias("n_source"), F.col("n_rows").alias("n_replica"), *[F.lit(0).cast("bigint").alias(c) for c in ("missing", "extra", "changed")], F.lit(True).alias("in_sync"))
+    n = lambda state: F.count_if(F.col("state") == state).alias(state)
+    found = differing(key, columns, source, replica).agg(n("missing"), n("extra"), n("changed"), (F.count("*") == 0).alias("in_sync"))
+    sizes = a.select(F.col("n_rows").alias("n_source"), F.lit(1).alias("_one")).join(b.select(F.col("n_rows").alias("n_replica"), F.lit(1).alias("_one")), "_one")
+    return sizes.join(found.withColumn("_one", F.lit(1)), "_one").drop("_one")  # a row each
+
+
+def ancestry(df: DataFrame, key: str, parent: str, name: str) -> DataFrame:
+    """df(key, parent, name) with parent_name, root and depth of each row of a forest, level by level.
+
+    Each round joins the level before to its children, so there are as many rounds as levels; rows of a cycle, or below a
+    parent that isn't there, belong to no tree and have no root and depth.
+    """
+    shared_folder(df.sparkSession)
+    rows = df.select(key, F.col(parent).alias("_up"), name)
+    names = rows.select(F.col(key).alias("_key"), F.col(name).alias("parent_name"))
+    level = rows.where("_up is null").select(key, F.col(key).alias("root"), F.lit(0).alias("depth")).checkpoint()
+    done = level
+    while not level.isEmpty():
+        above = level.select(F.col(key).alias("_key"), "root", "depth")
+        level = rows.join(above, F.col("_up") == F.col("_key")).select(key, "root", (F.col("depth") + 1).alias("depth")).checkpoint()
+        done = done.union(level)
+    return rows.join(names, F.col("_up") == F.col("_key"), "left").drop("_key").join(done, key, "left").drop("_up")
+
+
 def digest(df: DataFrame, columns: list[str]) -> DataFrame:
     """A digest of the rows in any order: their number, the xor and the sum of their 64-bit hashes; no sort, one partial aggregate."""
     marked = [F.coalesce(F.col(c).cast("string"), F.lit("\x01null")) for c in sorted(columns)]

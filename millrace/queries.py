@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -11,10 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from millrace.functions import rates, text
-from millrace.operators import cdc, dates, paging, relations
+from millrace.operators import cdc, dates, ledger, paging, relations, writes
 from millrace.operators import filters as flt
+from millrace.operators import schema as schemas
 from millrace.plans.spec import Relation, TableSpec
-from millrace.sources import changelog
+from millrace.sources import changelog, files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -250,9 +252,9 @@ def ledger_rebalance(spark: SparkSession, sf: str) -> DataFrame:
     return account_balances(spark, sf).agg(F.count("*").alias("accounts"), F.count_if(F.abs(F.col("stored") - F.col("posted")) > 0.005).alias("differing"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')")
 def orphan_accounts(spark: SparkSession, sf: str) -> DataFrame:
-    return relations.orphans(t(spark, sf, "customer"), t(spark, sf, "orders"), "c_custkey", "o_custkey").select("c_custkey")
+    return relations.orphans(t(spark, sf, "orders"), t(spark, sf, "customer").where("c_mktsegment <> 'BUILDING'"), "o_custkey", "c_custkey").select("o_orderkey", "o_custkey")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
@@ -283,7 +285,10 @@ def diff_want_have(spark: SparkSession, sf: str) -> DataFrame:
     return relations.differing("c_custkey", ["c_name", "c_nationkey"], a, b)
 
 
-QUERIES["sync_diff"], SQL["sync_diff"] = diff_want_have, SQL["diff_want_have"]
+@query(f"SELECT (SELECT count(*) FROM {ALL3}) AS n_source, (SELECT count(*) FROM {COPY}) AS n_replica, count_if(state = 'missing') AS missing, count_if(state = 'extra') AS extra, count_if(state = 'changed') AS changed, count(*) = 0 AS in_sync FROM ({SQL['diff_want_have']})")
+def sync_diff(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = _copy(spark, sf)
+    return relations.in_sync("c_custkey", ["c_name", "c_nationkey"], a, b)
 
 
 @query(f"SELECT * FROM ({ALL3} EXCEPT ALL {COPY})")
@@ -298,11 +303,10 @@ def table_intersect(spark: SparkSession, sf: str) -> DataFrame:
     return a.intersect(b)
 
 
-@query("SELECT a.s_suppkey, a.s_name, b.s_name AS parent FROM supplier a LEFT JOIN supplier b ON b.s_suppkey = a.s_suppkey // 2 AND a.s_suppkey > 1")
+@query("WITH RECURSIVE up AS (SELECT s_suppkey, s_name, CAST(NULL AS VARCHAR) AS parent, 0 AS depth, s_suppkey AS root FROM supplier WHERE s_suppkey <= 1 UNION ALL SELECT c.s_suppkey, c.s_name, u.s_name, u.depth + 1, u.root FROM supplier c JOIN up u ON c.s_suppkey > 1 AND c.s_suppkey // 2 = u.s_suppkey) SELECT s_suppkey, parent, CAST(depth AS INTEGER) AS depth, root FROM up")
 def sub_accounts(spark: SparkSession, sf: str) -> DataFrame:
-    s = t(spark, sf, "supplier")
-    up = s.select(F.col("s_suppkey").alias("up"), F.col("s_name").alias("parent"))
-    return s.withColumn("to", F.when(F.col("s_suppkey") > 1, F.floor(F.col("s_suppkey") / 2))).join(up, F.col("to") == F.col("up"), "left").select("s_suppkey", "s_name", "parent")
+    s = t(spark, sf, "supplier").select("s_suppkey", "s_name", F.when(F.col("s_suppkey") > 1, F.floor(F.col("s_suppkey") / 2)).alias("up"))
+    return relations.ancestry(s, "s_suppkey", "up", "s_name").select("s_suppkey", F.col("parent_name").alias("parent"), "depth", "root")
 
 
 @query("SELECT l_orderkey, l_linenumber, p_name, s_name FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey")
@@ -395,7 +399,16 @@ def backfill_numbers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT o_orderkey, year(o_orderdate) AS year FROM orders WHERE year(o_orderdate) = 1996")
 def partition_by_year(spark: SparkSession, sf: str) -> DataFrame:
-    return t(spark, sf, "orders").select("o_orderkey", F.year("o_orderdate").cast("bigint").alias("year")).where("year = 1996")
+    path = f"{files.shared_folder(spark)}/orders-{uuid.uuid4().hex}"
+    files.write_by_year(t(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", path)
+    return files.read_years(spark, path, 1996).select("o_orderkey", F.year("o_orderdate").cast("bigint").alias("year"))
+
+
+@query("SELECT c_custkey AS id, c_name AS name, c_mktsegment AS note FROM customer")
+def csv_export(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{files.shared_folder(spark)}/customers-{uuid.uuid4().hex}"
+    files.write_csv(t(spark, sf, "customer"), path, {"id": "c_custkey", "name": "c_name", "note": "c_mktsegment"})
+    return files.read_csv(spark, path, "id long, name string, note string")
 
 
 def event_log(spark: SparkSession, sf: str) -> DataFrame:
@@ -478,18 +491,21 @@ def offset_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return changelog.gaps(event_log(spark, sf)).drop("topic")
 
 
-@query("SELECT event_id AS \"offset\" FROM (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) AS p FROM events) WHERE event_id <= p")
+@query("SELECT event_id AS \"offset\" FROM (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id % 4 ORDER BY event_type, ts, event_id) AS p FROM events) WHERE event_id <= p")
 def offset_order_check(spark: SparkSession, sf: str) -> DataFrame:
-    log = event_log(spark, sf).withColumn("arrival", F.struct("timestamp", "offset"))
+    kinds = t(spark, sf, "events").select(F.col("event_id").alias("offset"), "event_type")
+    log = event_log(spark, sf).join(kinds, "offset").withColumn("arrival", F.struct("event_type", "timestamp", "offset"))
     return changelog.order_violations(log, "arrival").select("offset")
 
 
 LAST = f"SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(op, event_id) AS op, max(event_id) AS last, count(*) AS changes FROM {LOG} WHERE kind = 'change' GROUP BY 1"
 
 
-@query(f"SELECT CAST(user_id AS VARCHAR) AS row_key, event_type, changes FROM ({LAST}) WHERE op <> 'd'")
+@query(f"SELECT coalesce(user_id, c_custkey) AS id, CASE WHEN user_id IS NULL THEN 'stored' ELSE event_type END AS event_type FROM ({LAST}) FULL JOIN customer ON c_custkey = user_id WHERE op IS NULL OR op <> 'd'")
 def cdc_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    return cdc.newest(changes(spark, sf), by_lsn=False).where("not is_delete").select("row_key", "row.event_type", "changes")
+    stored = t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.lit("stored").alias("event_type"), F.lit(2500).cast("bigint").alias("version"))
+    last = cdc.newest(changes(spark, sf), by_lsn=False).select("row_key", (~F.col("is_delete")).alias("present"), "row")
+    return cdc.apply_rows(stored, last, REPLICA).select("id", "event_type")
 
 
 @query(f"SELECT CAST(user_id AS VARCHAR) AS row_key, last * 10 AS lsn, op = 'd' AS deleted FROM ({LAST})")
@@ -497,10 +513,11 @@ def cdc_order_by_lsn(spark: SparkSession, sf: str) -> DataFrame:
     return cdc.newest(changes(spark, sf), by_lsn=True).select("row_key", "lsn", F.col("is_delete").alias("deleted"))
 
 
-@query(f"SELECT CAST(user_id AS VARCHAR) AS row_key, last * 10 AS lsn FROM ({LAST}) WHERE last * 10 >= 99000")
+@query(f"SELECT CAST(user_id AS VARCHAR) AS row_key, max(event_id) FILTER (op = 'c') * 10 AS lsn FROM {LOG} WHERE kind = 'change' GROUP BY 1 HAVING max(event_id) FILTER (op = 'c') >= coalesce(max(event_id) FILTER (op = 'd'), 0)")
 def cdc_row_state(spark: SparkSession, sf: str) -> DataFrame:
-    now = cdc.newest(changes(spark, sf), by_lsn=True)
-    return cdc.claim(now, now.select("row_key", F.lit(99000).cast("bigint").alias("lsn"))).select("row_key", "lsn")
+    every = changes(spark, sf)
+    state = every.where("is_delete").groupBy("row_key").agg(F.max("lsn").alias("lsn"))
+    return cdc.claim(every.where("op = 'c'").groupBy("row_key").agg(F.max("lsn").alias("lsn")), state)
 
 
 def folded(spark: SparkSession, sf: str) -> DataFrame:
@@ -508,24 +525,37 @@ def folded(spark: SparkSession, sf: str) -> DataFrame:
     return cdc.fold(changes(spark, sf).select("row_key", "offset", "is_delete", "version", "row"), stored, REPLICA)
 
 
-@query()
+#: The changes of each user folded onto the customers, one at a time; and all states on the way.
+FOLD = """(WITH seq AS (SELECT user_id, event_id, {'gone': op = 'd', 'v': version, 'et': event_type, 'present': true, 'kept': 0::BIGINT, 'at': event_id} AS s FROM @LOG WHERE kind = 'change'),
+lists AS (SELECT user_id, list_prepend({'gone': false, 'v': any_value(c_custkey) * 0 + 2500, 'et': CASE WHEN any_value(c_custkey) IS NOT NULL THEN 'stored' END, 'present': any_value(c_custkey) IS NOT NULL, 'kept': 0::BIGINT, 'at': -1}, list(s ORDER BY event_id)) AS l FROM seq LEFT JOIN customer ON c_custkey = user_id GROUP BY 1)
+SELECT user_id, list_reduce(l, lambda a, x: CASE WHEN a.present AND a.v IS NOT NULL AND a.v > x.v AND NOT (x.gone AND x.v = 0) THEN a ELSE {'gone': x.gone, 'v': CASE WHEN NOT x.gone THEN x.v END, 'et': x.et, 'present': NOT x.gone, 'kept': a.kept + 1, 'at': x.at} END) AS s FROM lists)""".replace("@LOG", LOG)
+
+
+@query(f"SELECT CAST(user_id AS VARCHAR) AS row_key, s.present AS present, s.et AS event_type, CASE WHEN s.present THEN s.v END AS version, s.kept AS kept FROM {FOLD}")
 def cdc_collapse(spark: SparkSession, sf: str) -> DataFrame:
-    return folded(spark, sf).select("row_key", "present", F.col("row.event_type").alias("event_type"), F.col("row.version").alias("version"), "kept")
+    return folded(spark, sf).select("row_key", "present", F.col("row.event_type").alias("event_type"), F.when(F.col("present"), F.col("row.version")).alias("version"), "kept")
 
 
-@query()
+@query(f"SELECT CAST(user_id AS VARCHAR) AS row_key, s.v AS version, s.kept AS kept FROM {FOLD} WHERE s.present")
 def cdc_version_guard(spark: SparkSession, sf: str) -> DataFrame:
     return folded(spark, sf).where("present").select("row_key", F.col("row.version").alias("version"), "kept")
 
 
-@query()
+@query(f"SELECT CAST(user_id AS VARCHAR) AS row_key, s.kept AS kept FROM {FOLD} WHERE NOT s.present")
 def cdc_delete(spark: SparkSession, sf: str) -> DataFrame:
     return folded(spark, sf).where("not present").select("row_key", "kept")
 
 
-@query(f"SELECT user_id, event_id FROM {LOG} WHERE kind = 'change' AND op <> 'r'")
+#: Whether each change survives: without a stored row it does, if no newer version is held; a delete ends what is held.
+FEED = f"""(WITH RECURSIVE seq AS (SELECT user_id, event_id, event_type, version, op, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM {LOG} WHERE kind = 'change'),
+run AS (SELECT user_id, event_id, op, rn, true AS kept, CASE WHEN op <> 'd' THEN version END AS held FROM seq WHERE rn = 1
+UNION ALL SELECT s.user_id, s.event_id, s.op, s.rn, NOT coalesce(r.held > s.version AND NOT (s.op = 'd' AND s.version = 0), false), CASE WHEN coalesce(r.held > s.version AND NOT (s.op = 'd' AND s.version = 0), false) THEN r.held WHEN s.op <> 'd' THEN s.version END FROM run r JOIN seq s ON s.user_id = r.user_id AND s.rn = r.rn + 1) SELECT * FROM run)"""
+
+
+@query(f"SELECT user_id, event_id, CASE op WHEN 'c' THEN 'created' WHEN 'u' THEN 'updated' ELSE 'deleted' END AS event FROM {FEED} WHERE kept AND op <> 'r'")
 def change_feed(spark: SparkSession, sf: str) -> DataFrame:
-    return changes(spark, sf).where("op <> 'r'").select(F.col("row_key").cast("bigint").alias("user_id"), F.col("offset").alias("event_id"))
+    none = spark.createDataFrame([], REPLICA.schema)
+    return cdc.feed(changes(spark, sf), none, REPLICA).select(F.col("row_key").cast("bigint").alias("user_id"), F.col("offset").alias("event_id"), "event")
 
 
 @query(f"SELECT event_id AS \"offset\" FROM {LOG} WHERE kind = 'change' AND op = 'r'")
@@ -559,8 +589,7 @@ def repair_backoff(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT DISTINCT CAST(user_id AS VARCHAR) AS row_key FROM events WHERE event_id % 50 = 9 AND user_id <> 0")
 def repair_seed(spark: SparkSession, sf: str) -> DataFrame:
     dead = cdc.classify(event_log(spark, sf), REPLICA).where("kind = 'dead'")
-    key = cdc.get(cdc.unwrap(F.col("key")), "id")
-    return dead.select(key.alias("row_key")).where("row_key is not null and row_key <> '0'").distinct()
+    return dead.select(cdc.get(F.try_parse_json("key"), "id", as_type="string").alias("row_key")).where("row_key is not null and row_key <> '0'").distinct()
 
 
 @query("SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 AND c_custkey % 10 <> 0 THEN 'fixed' ELSE 'stored' END AS event_type, c_custkey AS version FROM customer")
@@ -579,33 +608,79 @@ def cdc_prune_tombstones(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT c_custkey, round(c_acctbal + coalesce(d, 0), 2) AS c_acctbal FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS d FROM orders GROUP BY 1) ON c_custkey = o_custkey")
 def bulk_increment(spark: SparkSession, sf: str) -> DataFrame:
-    delta = t(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("d"))
-    return t(spark, sf, "customer").join(delta, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.round(F.col("c_acctbal") + F.coalesce("d", F.lit(0)), 2).alias("c_acctbal"))
+    deltas = t(spark, sf, "orders").select("o_custkey", F.lit(1).alias("delta"))
+    return writes.increment(t(spark, sf, "customer").select("c_custkey", "c_acctbal"), deltas, CUSTOMER, "c_acctbal").select("c_custkey", F.round("c_acctbal", 2).alias("c_acctbal"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'UPDATED' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+@query("SELECT c_custkey, c_name, CASE WHEN c_custkey % 5 = 0 THEN 'UPDATED' ELSE c_mktsegment END AS c_mktsegment FROM customer")
 def bulk_update(spark: SparkSession, sf: str) -> DataFrame:
-    c = t(spark, sf, "customer").select("c_custkey", "c_mktsegment")
-    new = c.where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("k"), F.lit("UPDATED").alias("v"))
-    return c.join(new, F.col("c_custkey") == F.col("k"), "left").select("c_custkey", F.coalesce("v", "c_mktsegment").alias("c_mktsegment"))
+    c = t(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    new = c.where("c_custkey % 5 = 0").select("c_custkey", F.lit("UPDATED").alias("c_mktsegment"))
+    return writes.update(c, new.union(new.select(-F.col("c_custkey"), "c_mktsegment")), CUSTOMER)
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def bulk_delete(spark: SparkSession, sf: str) -> DataFrame:
-    ids = t(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
-    return t(spark, sf, "customer").join(ids, "c_custkey", "left_anti").select("c_custkey")
+    return writes.delete(t(spark, sf, "customer"), t(spark, sf, "orders").where("o_orderstatus = 'P'").select("o_custkey"), CUSTOMER).select("c_custkey")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'inserted' ELSE 'refused' END AS outcome, CASE WHEN c_custkey % 3 <> 0 THEN 'key is stored' END AS reason FROM customer WHERE c_custkey % 2 = 0")
+def bulk_insert(spark: SparkSession, sf: str) -> DataFrame:
+    c = t(spark, sf, "customer")
+    _, rows, refused = writes.insert(c.where("c_custkey % 3 <> 0"), c.where("c_custkey % 2 = 0"), CUSTOMER)
+    return rows.select("c_custkey", F.lit("inserted").alias("outcome"), F.lit(None).cast("string").alias("reason")).union(refused.select("c_custkey", F.lit("refused"), "reason"))
 
 
-@query("SELECT c_custkey, upper(c_mktsegment) = c_mktsegment AS same, lower(c_mktsegment) AS filled FROM customer")
+FILLED = "(SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS seg FROM customer)"
+
+
+@query(f"SELECT c_custkey // 1000 * 1000 AS from_id, (c_custkey // 1000 + 1) * 1000 AS to_id, count_if(seg <> lower(seg)) AS n_changed FROM {FILLED} GROUP BY 1, 2")
 def backfill_where_distinct(spark: SparkSession, sf: str) -> DataFrame:
     low = F.lower("c_mktsegment")
-    return t(spark, sf, "customer").select("c_custkey", (F.upper("c_mktsegment") == F.col("c_mktsegment")).alias("same"), F.when(~F.col("c_mktsegment").eqNullSafe(low), low).otherwise(F.col("c_mktsegment")).alias("filled"))
+    c = t(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, low).otherwise(F.col("c_mktsegment")).alias("c_mktsegment"))
+    return writes.backfill(c, CUSTOMER, "c_mktsegment", low, size=1000)[1]
+
 
+BANK = """(WITH a AS (SELECT c_custkey AS account, CAST(round(c_acctbal * 5000) AS BIGINT) AS balance, c_custkey % 17 <> 0 AS active FROM customer),
+o AS (SELECT o_orderkey AS id, o_custkey AS debit, o_custkey * 7 % (SELECT count(*) FROM customer) AS credit, CAST(round(o_totalprice * 100) AS BIGINT) - 500000 AS cents FROM orders),
+j AS (SELECT o.*, d.balance, CASE WHEN cents <= 0 THEN 'not positive' WHEN debit = credit THEN 'self' WHEN d.balance IS NULL OR c.balance IS NULL THEN 'unknown' WHEN NOT d.active OR NOT c.active THEN 'inactive' END AS refused FROM o LEFT JOIN a d ON d.account = debit LEFT JOIN a c ON c.account = credit),
+v AS (SELECT *, coalesce(refused, CASE WHEN sum(CASE WHEN refused IS NULL THEN cents END) OVER (PARTITION BY debit ORDER BY id) > balance THEN 'insufficient' ELSE 'posted' END) AS verdict FROM j)"""
 
-@query("SELECT o_orderkey, CASE WHEN o_totalprice <= 0 THEN 'not positive' WHEN o_custkey % 17 = 0 THEN 'inactive' WHEN o_totalprice > 300000 THEN 'insufficient' ELSE 'posted' END AS verdict FROM orders")
+
+def bank(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    c = t(spark, sf, "customer")
+    accounts = c.select(F.col("c_custkey").alias("account"), F.round(F.col("c_acctbal") * 5000).cast("bigint").alias("balance"), (F.col("c_custkey") % 17 != 0).alias("active"))
+    transfers = t(spark, sf, "orders").crossJoin(F.broadcast(c.agg(F.count("*").alias("n")))).select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("debit"), (F.col("o_custkey") * 7 % F.col("n")).alias("credit"), (F.round(F.col("o_totalprice") * 100).cast("bigint") - 500000).alias("cents"))  # n: one row
+    return ledger.post(transfers, accounts)
+
+
+@query(f"{BANK} SELECT id, verdict FROM v)")
 def post_transfers(spark: SparkSession, sf: str) -> DataFrame:
-    verdict = F.when(F.col("o_totalprice") <= 0, "not positive").when(F.col("o_custkey") % 17 == 0, "inactive").when(F.col("o_totalprice") > 300000, "insufficient").otherwise("posted")
-    return t(spark, sf, "orders").select("o_orderkey", verdict.alias("verdict"))
+    return bank(spark, sf)[0].select("id", "verdict")
+
+
+@query(f"{BANK} SELECT account, balance + coalesce(s, 0)::BIGINT AS balance FROM a LEFT JOIN (SELECT x, sum(y) AS s FROM (SELECT debit AS x, -cents AS y FROM v WHERE verdict = 'posted' UNION ALL SELECT credit, cents FROM v WHERE verdict = 'posted') GROUP BY 1) ON x = account)")
+def posted_balances(spark: SparkSession, sf: str) -> DataFrame:
+    return bank(spark, sf)[2].select("account", "balance")
+
+
+def _shapes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """customer, and an older copy of it: a name of another name, a smaller key, no segment, a column that is gone since."""
+    c = t(spark, sf, "customer")
+    old = c.select(F.col("c_custkey").cast("int").alias("c_custkey"), F.col("c_acctbal").alias("balance"), F.col("c_nationkey").cast("bigint").alias("c_nationkey"), "c_name", F.when(F.col("c_custkey") % 3 == 0, True).alias("vip"))
+    return c, old
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, CAST(NULL AS VARCHAR) AS c_mktsegment FROM customer")
+def schema_align(spark: SparkSession, sf: str) -> DataFrame:
+    now, old = _shapes(spark, sf)
+    return schemas.align(old, now.schema, destructive=True)
+
+
+@query("SELECT 'c_mktsegment' AS \"column\", 'added' AS kind, 'ADD COLUMN c_mktsegment string' AS fix, false AS destructive, count(c_mktsegment) AS n_values FROM customer UNION ALL SELECT 'c_acctbal', 'renamed', 'RENAME COLUMN balance TO c_acctbal', false, count(c_acctbal) FROM customer UNION ALL SELECT 'vip', 'dropped', 'DROP COLUMN vip', true, count_if(c_custkey % 3 = 0) FROM customer UNION ALL SELECT 'c_custkey', 'changed', 'ALTER COLUMN c_custkey TYPE bigint', false, count(*) FROM customer UNION ALL SELECT 'c_nationkey', 'changed', 'ALTER COLUMN c_nationkey TYPE int', true, count(*) FROM customer")
+def schema_drift(spark: SparkSession, sf: str) -> DataFrame:
+    now, old = _shapes(spark, sf)
+    return schemas.drift(now, old)
 
 
 @query("SELECT event_id, allowed, round(CASE WHEN allowed THEN 0 ELSE 3600 - epoch(ts) % 3600 END, 3) AS retry_after FROM (SELECT event_id, ts, row_number() OVER (PARTITION BY user_id, floor(epoch(ts) / 3600) ORDER BY ts, event_id) <= 2 AS allowed FROM events)")
@@ -613,7 +688,13 @@ def rate_window(spark: SparkSession, sf: str) -> DataFrame:
     return rates.rate_window(t(spark, sf, "events"), "user_id", "ts", "event_id", 2, 3600).select("event_id", "allowed", F.round("retry_after", 3).alias("retry_after"))
 
 
-@query()
+BUCKET = """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+b AS (SELECT event_id, user_id, t, rn, 3.0::DOUBLE AS have FROM e WHERE rn = 1
+UNION ALL SELECT e.event_id, e.user_id, e.t, e.rn, CASE WHEN e.t - b.t >= 172800 THEN 3.0 ELSE least(3.0, CASE WHEN b.have >= 1 THEN b.have - 1 ELSE b.have END + (e.t - b.t) * (1.0::DOUBLE / 7200)) END FROM b JOIN e ON e.user_id = b.user_id AND e.rn = b.rn + 1)
+SELECT event_id, have >= 1 AS allowed, round(CASE WHEN have >= 1 THEN 0 ELSE (1 - have) / (1.0::DOUBLE / 7200) END, 3) AS retry_after FROM b"""
+
+
+@query(BUCKET)
 def token_bucket(spark: SparkSession, sf: str) -> DataFrame:
     return rates.token_bucket(t(spark, sf, "events"), "user_id", "ts", "event_id", 1 / 7200, 3, 172_800).select("event_id", "allowed", F.round("retry_after", 3).alias("retry_after"))
 
@@ -631,7 +712,7 @@ def strip_control(spark: SparkSession, sf: str) -> DataFrame:
     return D(spark, sf).select("doc_id", text.strip_control(F.col("text")).alias("text"))
 
 
-@query()
+@query("SELECT doc_id, CASE WHEN strlen(text) <= 128 THEN text ELSE left(text, CAST(list_max(list_filter(range(0, 129), lambda k: strlen(left(text, CAST(k AS BIGINT))) <= 128)) AS BIGINT)) || '...' END AS label FROM documents")
 def truncate_bytes(spark: SparkSession, sf: str) -> DataFrame:
     return D(spark, sf).select("doc_id", text.truncate(F.col("text"), 128).alias("label"))
 
@@ -684,16 +765,16 @@ def json_checks(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "events").select("event_id", names.isNotNull().alias("is_object"), F.coalesce(F.array_contains(names, "k"), F.lit(False)).alias("has_k"), F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
 
 
-CHECKS = {"status known": "o_orderstatus in ('F', 'O', 'P')", "price positive": "o_totalprice > 0", "open or old": "o_orderstatus <> 'O' or year(o_orderdate) >= 1995", "customer set": "o_custkey is not null"}
+CHECKS = {"status known": "o_orderstatus in ('F', 'O', 'P')", "price positive": "o_totalprice > 0", "open or old": "o_orderstatus <> 'O' or year(o_orderdate) >= 1997", "customer set": "o_custkey is not null"}
 
 
-@query("SELECT 'status known' AS name, count_if(NOT (o_orderstatus IN ('F', 'O', 'P'))) AS violations FROM orders UNION ALL SELECT 'price positive', count_if(NOT (o_totalprice > 0)) FROM orders UNION ALL SELECT 'open or old', count_if(NOT (o_orderstatus <> 'O' OR year(o_orderdate) >= 1995)) FROM orders UNION ALL SELECT 'customer set', count_if(o_custkey IS NULL) FROM orders")
+@query("SELECT 'status known' AS name, count_if(NOT (o_orderstatus IN ('F', 'O', 'P'))) AS violations FROM orders UNION ALL SELECT 'price positive', count_if(NOT (o_totalprice > 0)) FROM orders UNION ALL SELECT 'open or old', count_if(NOT (o_orderstatus <> 'O' OR year(o_orderdate) >= 1997)) FROM orders UNION ALL SELECT 'customer set', count_if(o_custkey IS NULL) FROM orders")
 def constraint_report(spark: SparkSession, sf: str) -> DataFrame:
     one = t(spark, sf, "orders").agg(F.array(*[F.struct(F.lit(n).alias("name"), F.count_if(~F.expr(c)).alias("violations")) for n, c in CHECKS.items()]).alias("all"))
     return one.select(F.explode("all").alias("x")).select("x.*")
 
 
-@query("SELECT o_orderkey, 'open or old' AS reason FROM orders WHERE o_orderstatus = 'O' AND year(o_orderdate) < 1995")
+@query("SELECT o_orderkey, 'open or old' AS reason FROM orders WHERE o_orderstatus = 'O' AND year(o_orderdate) < 1997")
 def validate_batch(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "orders").withColumn("bad", cdc.violations(CHECKS)).where("size(bad) > 0").select("o_orderkey", F.array_join("bad", ",").alias("reason"))
 
