@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import drop, scratch
+from millrace.llm.shared import drop, scratch, sized
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,13 +16,15 @@ def components(links: DataFrame) -> DataFrame:
     Empty links give an empty table; a link of a node to itself makes it a component; nulls are left out.
     """
     links = links.where("a is not null and b is not null")
-    both = scratch(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = scratch(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
+    n = 2 * links.count()
+    both = scratch(sized(links.select("a", "b").union(links.select("b", "a")).distinct(), n), "links")
+    labels = scratch(sized(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), n), "labels")
     while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         low = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("low"))
         up = labels.select(F.col("node").alias("low"), F.col("component").alias("up"))
-        after = scratch(low.join(up, "low").select("node", F.least("low", "up").alias("component"), (F.least("low", "up") < F.col("was")).alias("moved")), "labels")
+        after = low.join(up, "low").select("node", F.least("low", "up").alias("component"), (F.least("low", "up") < F.col("was")).alias("moved"))
+        after = scratch(sized(after, n), "labels")
         drop(labels)
         labels = after
         if after.where("moved").isEmpty():

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components
-from millrace.llm.shared import blocks, chunks, drop, free, held_twice, mix, small_batches, one_name, scratch, word_shingles
+from millrace.llm.shared import blocks, chunks, drop, free, held_twice, mix, one_name, scratch, sized, small_batches, word_shingles
 
 #: Largest group whose unconnected classes are compared all with all.
 SMALL = 64
@@ -149,8 +149,8 @@ def _group_rows(table: DataFrame) -> DataFrame:
     return table.where("prefix is not null").select("grp", "prefix").mapInPandas(rows, "slot long, key long, a long, b long, known boolean")
 
 
-def _ids(pairs: DataFrame) -> DataFrame:
-    return scratch(pairs.select(F.col("gid").alias("in_pair")).union(pairs.select("lead")).distinct(), "ids")
+def _ids(pairs: DataFrame, n: int) -> DataFrame:
+    return scratch(sized(pairs.select(F.col("gid").alias("in_pair")).union(pairs.select("lead")).distinct(), 2 * n), "ids")
 
 
 def _of_pairs(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
@@ -161,7 +161,8 @@ def _of_pairs(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, den: int, k: int) -> DataFrame:
     """pairs(lead, gid) -> a written table with apart double, the Jaccard distance (1 where the bitmaps rule a link out) and linked boolean."""
-    ids = _ids(pairs)
+    n = pairs.count()
+    ids = _ids(pairs, n)
     c = _of_pairs(classes.select("gid", "n", "parity"), "gid", ids)
     wide = pairs.join(c, "gid").join(c.toDF("lead", "lead_n", "lead_parity"), "lead")
 
@@ -171,10 +172,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, d
             ok = [den * (n + m - d) >= num * (n + m + d) for n, m, d in zip(b["n"].tolist(), b["lead_n"].tolist(), map(_apart, b["parity"], b["lead_parity"]), strict=True)]
             yield b[["lead", "gid", "n", "lead_n"]].assign(may=np.array(ok, bool))
 
-    filtered = scratch(wide.mapInPandas(possible, "lead long, gid long, n int, lead_n int, may boolean"), "pairs")
+    filtered = scratch(sized(wide, n, 50_000).mapInPandas(possible, "lead long, gid long, n int, lead_n int, may boolean"), "pairs")
     may = filtered.where("may")
     drop(ids)
-    ids = _ids(may)
+    ids = _ids(may, n)
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -183,12 +184,13 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, d
                 cut = np.searchsorted(of, np.arange(1, j - i))
                 yield pd.DataFrame({"gid": b["row"].to_numpy()[i:j], "items": np.split(h.view(np.int64), cut)})
 
-    held = scratch(_of_pairs(docs.select("row", "text"), "row", ids).mapInPandas(sets, "gid long, items array<long>").dropDuplicates(["gid"]), "sets")
+    held = _of_pairs(docs.select("row", "text"), "row", ids).mapInPandas(sets, "gid long, items array<long>").dropDuplicates(["gid"])
+    held = scratch(sized(held, ids.count(), 2_000), "sets")
     both = may.join(held, "gid").join(held.toDF("lead", "lead_items"), "lead")
     inter = both.select("lead", "gid", "n", "lead_n", F.size(F.array_intersect("items", "lead_items")).alias("both"))
     union = F.col("n") + F.col("lead_n") - F.col("both")
     sure = inter.select("lead", "gid", (1 - F.col("both") / union).alias("apart"), (F.col("both").cast("long") * den >= union.cast("long") * num).alias("linked"))
-    out = scratch(sure.union(filtered.where("not may").select("lead", "gid", F.lit(1.0), F.lit(False))), "verified")
+    out = scratch(sized(sure.union(filtered.where("not may").select("lead", "gid", F.lit(1.0), F.lit(False))), n, 20_000), "verified")
     drop(ids, filtered, held)
     return out
 
@@ -242,12 +244,12 @@ def links(docs: DataFrame, num: int = 75, den: int = 100, k: int = 5) -> tuple[D
     free(spark)  # the largest shuffle is over
     checked: list[DataFrame] = []  # a written table a round
     count, label, leaders = LEADERS, None, None
-    while not active.isEmpty():
+    while n := active.count():
         if not checked:
             least = active.groupBy("key").agg(F.min_by(F.struct("gid", "n", "pos", "component", *SKETCH), F.struct("born", "gid")).alias("l"))
             done = _as_leads(least.select("key", "l.*"))
         else:
-            done = leaders = scratch(_leaders(active, count), "leaders")
+            done = leaders = scratch(sized(_leaders(active, count), n), "leaders")
             count *= 4
         pairs = active.join(done, "key").where((F.col("component") != F.col("lead_component")) & _fits(num, den))
         pairs = pairs.select(F.least("lead", "gid").alias("lead"), F.greatest("lead", "gid").alias("gid")).distinct()
@@ -259,10 +261,11 @@ def links(docs: DataFrame, num: int = 75, den: int = 100, k: int = 5) -> tuple[D
         label = components(linked.select(F.col("lead").alias("a"), F.col("gid").alias("b")))
         labels = label.toDF("gid", "component")
         rest = active.join(done.select("key", F.col("lead").alias("gid")), ["key", "gid"], "left_anti")
-        rest = scratch(rest.drop("component").join(labels, "gid", "left").withColumn("component", F.coalesce("component", "gid")), "rest")
+        rest = rest.drop("component").join(labels, "gid", "left").withColumn("component", F.coalesce("component", "gid"))
+        rest = scratch(sized(rest, n), "rest")
         drop(active, leaders)
         apart = rest.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
-        active, leaders = scratch(rest.join(apart, "key").select(*active.columns), "active"), None
+        active, leaders = scratch(sized(rest.join(apart, "key").select(*active.columns), n), "active"), None
         drop(rest)
     drop(active)
     label = label.toDF("gid", "component") if checked else spark.createDataFrame([], "gid long, component long")

@@ -147,6 +147,11 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def sized(df: DataFrame, rows: int, per_task: int = 200_000) -> DataFrame:
+    """The same rows for a table of at most so many, in no more tasks and files than they are worth; at least eight."""
+    return df.coalesce(max(8, -(-rows // per_task)))
+
+
 def drop(*tables: DataFrame | None) -> None:
     """Deletes tables of scratch() that nothing reads any more: what was made of them is written."""
     for t in tables:
