@@ -241,6 +241,8 @@ def links(docs: DataFrame, num: int = 75, den: int = 100, k: int = 5) -> tuple[D
     within = by_group.join(several, "grp").select(F.xxhash64("grp", F.lit("group")).alias("key"), "gid", "n", "born", F.lit(0).alias("pos"), *SKETCH)
     active = scratch(across.select("key", "gid", "n", "born", "pos", *SKETCH).union(within).withColumn("component", F.col("gid")), "active")
     spark = docs.sparkSession
+    own = scratch(table.select("row", F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n", "d1", "d2"), "own")
+    drop(table)
     free(spark)  # the largest shuffle is over
     checked: list[DataFrame] = []  # a written table a round
     count, label, leaders = LEADERS, None, None
@@ -272,7 +274,6 @@ def links(docs: DataFrame, num: int = 75, den: int = 100, k: int = 5) -> tuple[D
     empty = spark.createDataFrame([], "a long, b long, apart double")
     found = linked.select(F.col("lead").alias("a"), F.col("gid").alias("b"), "apart") if checked else empty
     of = classes.select("d1", "d2", "n", "gid", "first")
-    own = table.select("row", F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n", "d1", "d2")
     return own.join(of, ["d1", "d2", "n"], "left").select("row", "doc_id", "n", "gid", "first"), found, label
 
 
