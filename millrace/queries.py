@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from millrace.functions import rates, text
-from millrace.operators import cdc, dates, ledger, paging, relations, writes
+from millrace.operators import cdc, dates, ledger, paging, relations, search, writes
 from millrace.operators import filters as flt
 from millrace.operators import schema as schemas
 from millrace.plans.spec import Relation, TableSpec
@@ -702,6 +702,15 @@ def token_bucket(spark: SparkSession, sf: str) -> DataFrame:
 D = lambda spark, sf: t(spark, sf, "documents")
 
 
+@query("""WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\\W+'), lambda x: x <> '') AS w FROM documents),
+c AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = 'license')) AS a, len(list_filter(w, lambda x: x = 'token')) AS b FROM t),
+s AS (SELECT count(*) AS docs, avg(n) AS mean, count_if(a > 0) AS da, count_if(b > 0) AS db FROM c)
+SELECT doc_id, round(ln(1 + (docs - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean)) + ln(1 + (docs - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS score FROM c, s WHERE a > 0 OR b > 0""")
+def search_score(spark: SparkSession, sf: str) -> DataFrame:
+    return search.bm25(D(spark, sf), "text", "Token, license").select("doc_id", F.round("score", 6).alias("score"))
+
+
+
 @query("SELECT doc_id, trim(regexp_replace(lower(source), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
 def slug(spark: SparkSession, sf: str) -> DataFrame:
     return D(spark, sf).select("doc_id", text.slug(F.col("source")).alias("slug"))
