@@ -428,6 +428,56 @@ def test_empty_tables(spark):
     assert [f.count() for f in frames] == [0] * len(frames)
 
 
+@pytest.fixture(scope="module")
+def hard(spark):
+    """Null and equal ids, repeated rows, ties, a text of some MB, texts without words; columns that operators use for themselves."""
+    rng = random.Random(21)
+    long, a, b = words(rng, 700_000), words(rng, 50), words(rng, 150)
+    rows = [(1, long), (2, f"{a} {long[:3000]}"), (None, a), (None, a), (None, None), (3, a), (3, a), (3, b), (4, b), (5, ""), (6, " \t\n"), (7, "password=abcdef123 " + a), (7, None), (8, b + " x")]
+    full = [(d, t, ["en", None][i % 5 == 4], [f"s{i % 3}", None][i % 4 == 3], len(t) if t and i % 2 else None, i, "x", [1], b"y") for i, (d, t) in enumerate(rows)]
+    return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, row long, hash string, spans array<int>, kept binary").repartition(3)
+
+
+def test_hard_rows(spark, hard):
+    rows = hard.collect()
+    n, data = len(rows), [(r.text or "").encode() for r in rows]
+    found = secrets.find_secrets(hard).collect()
+    assert (len(found), sum(len(r.base) for r in found)) == (n, 1)
+    packed = packing.pack(hard).toPandas()
+    assert len(packed[packed.start == 0]) == n
+    assert (packed.groupby("sequence_id").length.sum() <= 2048).all()
+    prints = fingerprints.fingerprints(hard).collect()
+    assert len({r.fingerprint for r in prints if r.doc_id in (5, 6)}) == 1
+    compared = fingerprints.compare_edits(hard).collect()
+    assert sorted(r.n_chars for r in compared) == sorted(len(r.text or "") for r in rows)
+    told = langid.identify(hard).collect()
+    assert sorted(str(r.lang_pred) for r in told) == ["en"] * 10 + ["und"] * 4
+    joined = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(hard).collect()}
+    assert {(3, 46, 3), (None, 46, 3), (3, 146, 3), (4, 146, 3), (8, 147, 3), (7, 47, 3), (5, 0, 5), (None, 0, None)} <= joined
+    out = suffix_dedup.digest(suffix_dedup.remove_repeats(hard, length=100)).collect()
+    assert sorted(r.n_bytes for r in out) == sorted(map(len, data))
+    assert {(r.doc_id, r.n_removed) for r in out if r.doc_id in (3, 4)} == {(3, 149), (3, 449), (4, 449)}
+    items = spark.createDataFrame([(1, rows[[r.doc_id for r in rows].index(1)].text[-400:]), (None, "password=abcdef123")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contamination(hard, items).collect()} == {(1, 1)}
+
+
+def test_pipeline_on_hard_rows(spark, hard, tmp_path):
+    import corpus_pipeline
+
+    docs = hard.select("doc_id", "text", "lang", "source", "n_chars")
+    spark.createDataFrame([(1, None), (2, ""), (3, "no such words anywhere in there at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for frame in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, frame, str(tmp_path))
+            assert out.columns == docs.columns
+            frame = spark.createDataFrame(out.collect(), out.schema)
+            if name == "secret_scan":
+                assert all(r.n_chars == len(r.text) for r in frame.collect() if r.text is not None)
+        pieces = corpus_pipeline.windows(spark, frame, str(tmp_path))
+        assert pieces.where("start = 0").count() == frame.count()
+    assert frame.count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
