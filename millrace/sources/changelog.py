@@ -66,8 +66,12 @@ def order_violations(log: DataFrame, arrival: str) -> DataFrame:
     return log.withColumn("previous", F.lag("offset").over(w)).where(F.col("offset") <= F.col("previous"))
 
 
-def gaps(log: DataFrame) -> DataFrame:
-    """Missing offsets: partition, after, before, missing."""
-    w = W.partitionBy("topic", "partition").orderBy("offset")
-    out = log.select("topic", "partition", F.lag("offset").over(w).alias("after"), F.col("offset").alias("before"))
+def gaps(log: DataFrame, span: int = 100_000) -> DataFrame:
+    """Missing offsets: topic, partition, after, before, missing. Offsets are put in order by ranges of so many, and then the ranges among themselves."""
+    part = ["topic", "partition"]
+    rows = log.select(*part, "offset", F.floor(F.col("offset") / span).alias("_span"))
+    near = F.lag("offset").over(W.partitionBy(*part, "_span").orderBy("offset"))
+    ends = rows.groupBy(*part, "_span").agg(F.max("offset").alias("_end"))
+    ends = ends.withColumn("_far", F.lag("_end").over(W.partitionBy(*part).orderBy("_span"))).drop("_end")
+    out = rows.withColumn("_near", near).join(ends, [*part, "_span"]).select(*part, F.coalesce("_near", "_far").alias("after"), F.col("offset").alias("before"))
     return out.where(F.col("before") - F.col("after") > 1).withColumn("missing", F.col("before") - F.col("after") - 1)

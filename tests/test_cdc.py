@@ -247,6 +247,15 @@ def test_second_writer_loses(spark, tmp_path):
     assert store.manifest()["batch"] == 0
 
 
+def test_gaps_across_ranges(spark):
+    offsets = [0, 1, 2, 5, 9, 10, 31, 32, 70]
+    log = spark.createDataFrame([("t", p, o) for p in (0, 1) for o in offsets if (o + p) % 3], "topic string, partition int, offset long")
+    for span in (10, 100):
+        got = {(r.partition, r.after, r.before, r.missing) for r in changelog.gaps(log, span).collect()}
+        own = {p: [o for o in offsets if (o + p) % 3] for p in (0, 1)}
+        assert got == {(p, a, b, b - a - 1) for p in own for a, b in zip(own[p], own[p][1:]) if b - a > 1}
+
+
 def test_attempts_and_quarantine(spark, tmp_path):
     waits, calls = [], []
 
