@@ -19,6 +19,8 @@ from millrace.operators.filters import UnknownField, apply, normalize_field
 from millrace.plans.spec import TableSpec
 
 PAGE, FIND = 30, 30
+#: Rows of a range that page_numbers() puts in order in one task, and the most ranges.
+RANGE, RANGES = 500_000, 256
 Sort = list[tuple[str, str]]
 
 
@@ -142,13 +144,15 @@ def _edges(df: DataFrame, sort: Sort, buckets: int) -> list[list]:
     return [[None if r[n] is None else _text(r[n]) for n, _ in sort] for r in rows[:-1]]
 
 
-def page_numbers(df: DataFrame, sort: Sort, size: int, buckets: int = 64) -> DataFrame:
+def page_numbers(df: DataFrame, sort: Sort, size: int, buckets: int | None = None) -> DataFrame:
     """All pages at once: rows are cut into ranges of the order, numbered there, and the ranges' sizes are added up.
 
     The ranges' edges are found once and are constants of the plan, so that sizes and rows are of the same ranges. The sort
-    must be a total order. Rows of one range are numbered in one task.
+    must be a total order. Rows of one range are numbered in one task; unless buckets says otherwise there is a range for
+    RANGE rows, but no more than RANGES, as each is a condition of the plan.
     """
-    edges = _edges(df, sort, buckets)
+    buckets = buckets or min(RANGES, -(-df.count() // RANGE))
+    edges = _edges(df, sort, buckets) if buckets > 1 else []
 
     def place(lo: int, hi: int) -> Column:  # how many edges a row is beyond, by halving
         if lo == hi:
