@@ -190,7 +190,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, d
     inter = both.select("lead", "gid", "n", "lead_n", F.size(F.array_intersect("items", "lead_items")).alias("both"))
     union = F.col("n") + F.col("lead_n") - F.col("both")
     sure = inter.select("lead", "gid", (1 - F.col("both") / union).alias("apart"), (F.col("both").cast("long") * den >= union.cast("long") * num).alias("linked"))
-    out = scratch(sized(sure.union(filtered.where("not may").select("lead", "gid", F.lit(1.0), F.lit(False))), n, 20_000), "verified")
+    out = scratch(sized(sure.union(filtered.where("not may").select("lead", "gid", F.lit(1.0), F.lit(False))), n, 5_000), "verified")
     drop(ids, filtered, held)
     return out
 
