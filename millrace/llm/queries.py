@@ -1,4 +1,4 @@
-"""The ten operators over the given tables, as named queries with their digests; SQL where it can say the same."""
+"""The operators over the given tables, as named queries with their digests; SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, fingerprints, html_extract, jaccard_join, langid, packing, quotes, secrets, suffix_dedup, urlfilter
+from millrace.llm import decontaminate, fingerprints, html_extract, jaccard_join, langid, packing, quotes, secrets, suffix_dedup, token_counts, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,10 +54,14 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_secret_scan, op2_decontamination, op3_packing, op4_fingerprints, op5_quote_links, op6_url_filter, op7_language_id, op8_jaccard_join, op9_suffix_dedup, op10_html_text)
+    own = (op1_secret_scan, op2_decontamination, op3_packing, op4_fingerprints, op5_quote_links, op6_url_filter, op7_language_id, op8_jaccard_join, op9_suffix_dedup, op10_html_text, op11_token_counts)
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in own}
 
 
