@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, fingerprints, html_extract, jaccard_join, langid, merkle, packing, quotes, secrets, sql, suffix_dedup, token_counts, urlfilter
+from millrace.llm import collocations, decontaminate, fingerprints, html_extract, jaccard_join, langid, merkle, packing, quotes, secrets, sql, suffix_dedup, token_counts, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -65,9 +69,9 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_secret_scan, op2_decontamination, op3_packing, op4_fingerprints, op5_quote_links, op6_url_filter, op7_language_id, op8_jaccard_join, op9_suffix_dedup, op10_html_text, op11_token_counts, op13_merkle_manifest)
+    own = (op1_secret_scan, op2_decontamination, op3_packing, op4_fingerprints, op5_quote_links, op6_url_filter, op7_language_id, op8_jaccard_join, op9_suffix_dedup, op10_html_text, op11_token_counts, op12_collocations, op13_merkle_manifest)
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_merkle_manifest": sql.OP13_MERKLE_MANIFEST}
+    return {"op12_collocations": sql.OP12_COLLOCATIONS, "op13_merkle_manifest": sql.OP13_MERKLE_MANIFEST}
