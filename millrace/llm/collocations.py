@@ -32,8 +32,8 @@ LONGEST = 4
 UNKNOWN = "und"
 #: One window in so many begins a chunk; a chunk has at most so many words of its own.
 ONE_IN, LONGEST_CHUNK = 64, 4096
-#: Bytes of chunks that are counted at once.
-BLOCK_BYTES = 3_000_000
+#: Bytes of chunks that are counted at once: workers keep the powers for so many.
+BLOCK_BYTES = 900_000
 #: Bits of a pass's bitmap: so many a key, at most 2^MOST_BITS.
 BITS_A_KEY, MOST_BITS = 16, 27
 #: Bits of a piece of the bitmap, as a power of two.
@@ -139,16 +139,33 @@ class Block:
         stops = np.concatenate([[0], np.cumsum(data == _STOP)])
         self.joined = stops[self.start[1:]] == stops[self.end[:-1]]  # nothing ends the piece before the next word
         self.g = self._hashes()
+        self.second: np.ndarray | None = None
 
-    def _hashes(self, base: int | None = None) -> list[np.ndarray]:
+    def _hashes(self) -> list[np.ndarray]:
         """Hash of the n-gram at each word, by n - 1; the language is part of it."""
-        sums = prefix_sums(self.data) if base is None else prefix_sums(self.data, base)
-        h = span_hash(sums, self.start, self.end) if base is None else span_hash(sums, self.start, self.end, base)
+        h = span_hash(prefix_sums(self.data), self.start, self.end)
         out = [mix(h ^ self.seed)]
         for n in range(2, LONGEST + 1):
             out.append(mix(out[-1][: max(0, len(h) - n + 1)] * _WORD + h[n - 1 :]))
         return out
 
+    def distinct(self, n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the n-grams at some words, one place of each that is distinct in 128 bits, and how often it stands."""
+        if self.second is None:
+            self.second = span_hash(prefix_sums(self.data, BASE2), self.start, self.end, BASE2)
+        other = self.second[at] ^ self.seed[at]
+        for i in range(1, n):
+            other = mix(other * _WORD + self.second[at + i])
+        order = np.argsort(self.g[n - 1][at], kind="stable")
+        a, b = self.g[n - 1][at][order], other[order]
+        new = a[1:] != a[:-1]
+        if (~new & (b[1:] != b[:-1])).any():  # two of one 64-bit hash
+            order = np.lexsort((other, self.g[n - 1][at]))
+            a, b = self.g[n - 1][at][order], other[order]
+            new = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        edge = np.flatnonzero(np.concatenate([[True], new]))[: len(at)]
+        return at[order[edge]], np.add.reduceat(self.weight[at][order], edge) if len(edge) else edge
+
     def starts(self, n: int) -> np.ndarray:
         """Whether an n-gram starts at each of the words that have n - 1 behind them, in a chunk's own words."""
         ok = self.mine[: len(self.g[n - 1])].copy()
@@ -215,19 +232,11 @@ def frequencies(table: DataFrame, least: int, block_bytes: int = BLOCK_BYTES) ->
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in _blocks(batches, block_bytes):
-            other = block._hashes(BASE2)
             for n in range(1, LONGEST + 1):
-                at = block.possible(n, shared.value)
-                order = np.lexsort((other[n - 1][at], block.g[n - 1][at]))
-                at = at[order]
-                a, b = block.g[n - 1][at], other[n - 1][at]
-                edge = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))[: len(at)]
-                if not len(edge):
-                    continue
-                first = at[edge]
+                first, f = block.distinct(n, block.possible(n, shared.value))
                 phrases = [block.bytes[i:j] for i, j in zip(block.start[first].tolist(), block.end[first + n - 1].tolist(), strict=True)]
                 phrases = [(b" ".join(filter(None, p.split(b" "))) if b"  " in p else p).decode() for p in phrases]
-                yield pd.DataFrame({"lang": [block.lang[i] for i in block.of[first].tolist()], "size": n, "phrase": phrases, "f": np.add.reduceat(block.weight[at], edge)})
+                yield pd.DataFrame({"lang": [block.lang[i] for i in block.of[first].tolist()], "size": n, "phrase": phrases, "f": f})
 
     every = table.mapInPandas(count, "lang string, size int, phrase string, f long").groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
     return scratch(every.where(F.col("f") >= least), "phrases")
