@@ -234,6 +234,8 @@ def frequencies(table: DataFrame, least: int, block_bytes: int = BLOCK_BYTES) ->
         for block in _blocks(batches, block_bytes):
             for n in range(1, LONGEST + 1):
                 first, f = block.distinct(n, block.possible(n, shared.value))
+                if not len(first):
+                    continue
                 phrases = [block.bytes[i:j] for i, j in zip(block.start[first].tolist(), block.end[first + n - 1].tolist(), strict=True)]
                 phrases = [(b" ".join(filter(None, p.split(b" "))) if b"  " in p else p).decode() for p in phrases]
                 yield pd.DataFrame({"lang": [block.lang[i] for i in block.of[first].tolist()], "size": n, "phrase": phrases, "f": f})

@@ -13,7 +13,10 @@ each for itself, and count once. No rows: no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm.shared import one_name, scratch
@@ -36,22 +39,45 @@ MORE = (
 SHARE, MANY = 4, 16
 #: Copied values are broadcast up to this number; more are shuffled to the candidates.
 BROADCAST_VALUES = 500_000
+#: Values that one fold goes over: a fold copies what it has gathered at each step, so arrays are folded in slices.
+SLICE = 256
+#: Code points of a piece of a text that is cut.
+CUT = 1000
 _SPAN = "array<struct<s:bigint,rank:int,kind:string,e:bigint,hash:string>>"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value made once a row: within a function over an array it would be made for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def before(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Of array<bigint> what op makes of 0 and all values before each, in slices and then among the slices."""
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("all"))
+    step = lambda value: lambda acc, x: F.struct(op(acc["at"], value(x)).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all"))
+
+    def run(v: Column) -> Column:
+        slices = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / SLICE).cast("int")), lambda i: F.slice(v, i * SLICE + 1, F.lit(SLICE)))
+        own = F.transform(slices, lambda part: F.aggregate(part, start, step(lambda x: x)))
+        return once(own, lambda o: F.flatten(F.zip_with(o, F.aggregate(o, start, step(lambda x: x["at"]))["all"], lambda part, base: F.transform(part["all"], lambda x: op(base, x)))))
+
+    return once(values, lambda v: F.when(F.size(v) > 0, run(v)).otherwise(F.array().cast("array<bigint>")))
+
+
 def spans(text: Column, kind: str, rank: int, pattern: str, group: int, least: int) -> Column:
     """Leftmost non-overlapping matches whose value has the least length, as structs of start, rank, kind, end, hash."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    lengths = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda gap, hit: F.struct(F.length(gap).cast("bigint").alias("gap"), F.length(hit).cast("bigint").alias("hit")))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<s:bigint,e:bigint>>").alias("all"))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + x["hit"]).alias("at"),
-        F.concat(acc["all"], F.array(F.struct((acc["at"] + x["gap"]).alias("s"), (acc["at"] + x["gap"] + x["hit"]).alias("e")))).alias("all"),
-    )
-    placed = F.aggregate(lengths, start, step)["all"]
-    full = F.zip_with(placed, values, lambda p, v: F.struct(p["s"].alias("s"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), p["e"].alias("e"), F.when(F.length(v) >= least, F.sha2(v, 256)).alias("hash")))
-    return F.when(F.size(found) > 0, F.filter(full, lambda x: x["hash"].isNotNull())).otherwise(F.array()).cast(_SPAN)
+    hits = lambda group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+    def placed(found: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(found)), lambda x: F.length(x).cast("bigint"))
+        lengths = F.zip_with(gaps, found, lambda gap, hit: F.struct(gap.alias("gap"), F.length(hit).cast("bigint").alias("hit")))
+        return once(lengths, lambda x: F.zip_with(x, before(F.transform(x, lambda y: y["gap"] + y["hit"]), lambda a, b: a + b), lambda y, past: F.struct((past + y["gap"]).alias("s"), (past + y["gap"] + y["hit"]).alias("e"))))
+
+    def full(found: Column) -> Column:
+        one = lambda p, v: F.struct(p["s"].alias("s"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), p["e"].alias("e"), F.when(F.length(v) >= least, F.sha2(v, 256)).alias("hash"))
+        return F.filter(F.zip_with(placed(found), hits(group) if group else found, one), lambda x: x["hash"].isNotNull())
+
+    return once(hits(0), lambda found: F.when(F.size(found) > 0, full(found)).otherwise(F.array()).cast(_SPAN))
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str) -> DataFrame:
@@ -81,6 +107,17 @@ def copied(counts: DataFrame, all_owners: int, max_owners: int) -> Column:
     return (F.col("owners") >= many) & (F.col("repos") > F.lit(usual or 0.0))
 
 
+def apart(each: DataFrame) -> DataFrame:
+    """each(row, span, ...) without MORE spans that overlap a base span of their row: none that starts before ends behind their start, and none starts within."""
+    own = W.partitionBy("row")
+    base = F.col("span.rank") < len(BASE)
+    at = each.withColumns({"_s": F.col("span.s"), "_from": F.when(base, F.col("span.s")), "_to": F.when(base, F.col("span.e"))})
+    at = at.withColumn("_held", F.max("_to").over(own.orderBy("_s").rangeBetween(W.unboundedPreceding, 0)))
+    at = at.withColumn("_next", F.min("_from").over(own.orderBy(F.desc("_s")).rangeBetween(W.unboundedPreceding, 0)))
+    free = ~(F.coalesce(F.col("_held") > F.col("_s"), F.lit(False)) | F.coalesce(F.col("_next") < F.col("span.e"), F.lit(False)))
+    return at.where(base | free).select(*each.columns)
+
+
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = 1) -> DataFrame:
     """One row a document: row, doc_id, text (its digest), base and spans (arrays of s, rank, kind, e, hash, by start and kind), n_live, n_copied.
 
@@ -88,9 +125,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     owners hold never is. MORE spans that are copied or that overlap a base span are in neither.
     """
     table = scan(docs, id_col, text_col, owner_col, repo_col)
-    apart = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"])))
-    each = table.where("size(base) > 0 or size(more) > 0").select("row", "text", "owner", "repo", F.explode(F.concat("base", apart)).alias("span"))
-    each = each.withColumn("hash", F.col("span.hash"))
+    each = table.where("size(base) > 0 or size(more) > 0").select("row", "text", "owner", "repo", F.explode(F.concat("base", "more")).alias("span"))
+    each = scratch(apart(each).withColumn("hash", F.col("span.hash")), "candidates")
     counts = scratch(frequency(each), "counts")
     examples = scratch(counts.where(copied(counts, table.select("owner").distinct().count(), max_owners)).select("hash", F.lit(True).alias("example")), "examples")
     few = examples.count() <= BROADCAST_VALUES
@@ -126,11 +162,17 @@ def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", mark
     found = find_secrets(docs, id_col, text_col, **how).where("size(spans) > 0")
     found = found.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_text"])
     text = F.col(f"`{text_col}`")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    step = lambda acc, x: F.struct(
-        F.greatest(acc["at"], x["e"]).alias("at"),
-        F.when(x["s"] >= acc["at"], F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (x["s"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-    )
-    end = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
+    held = before(F.transform("_spans", lambda x: x["e"]), F.greatest)  # where what stands before a span ends
+    gaps = F.filter(F.zip_with(held, "_spans", lambda a, x: F.struct(a.alias("s"), x["s"].alias("e"))), lambda g: g["e"] >= g["s"])
+    tail = F.array(F.struct(F.array_max(F.transform("_spans", lambda x: x["e"])).alias("s"), F.length(text).cast("bigint").alias("e")))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+    kept = once(pieces, lambda p: F.array_join(F.transform(F.concat(gaps, tail), lambda g: cut(p, g["s"], g["e"])), mark))
     joined_ = docs.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & F.sha2(text, 256).eqNullSafe(F.col("_text")), "left")
-    return joined_.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(F.aggregate("_spans", start, step, end))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return joined_.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def cut(pieces: Column, start: Column, end: Column) -> Column:
+    """Code points start to end of a text that stands in pieces of CUT each."""
+    first, last = F.floor(start / CUT).cast("int"), F.floor((end - 1) / CUT).cast("int")
+    part = lambda x, i: F.substring(x, F.greatest(start - (first + i) * CUT, F.lit(0)).cast("int") + 1, F.least(end - (first + i) * CUT, F.lit(CUT)).cast("int") - F.greatest(start - (first + i) * CUT, F.lit(0)).cast("int"))
+    return F.when(end > start, F.array_join(F.transform(F.slice(pieces, first + 1, last - first + 1), part), "")).otherwise("")
