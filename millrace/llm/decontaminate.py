@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import SPACE, chunks, one_name, scratch, utf8, word_shingles
+from millrace.llm.shared import SPACE, chunks, one_name, scratch, utf8, with_id, word_shingles
 
 K = 5
 #: Pairs of document and item that are counted at once, and shingles of items that a task remembers.
@@ -127,7 +127,7 @@ def _broadcast_search(docs: DataFrame, table: DataFrame, num: int, den: int) ->
                             out.append((ids_of_docs.iloc[i + x], ids[y], both, len(words[y])))
             yield pd.DataFrame(out, columns=["doc_id", "item", "n_shared", "n_item"])
 
-    return docs.mapInPandas(search, "doc_id long, item long, n_shared long, n_item long")
+    return with_id(docs, search, "doc_id long, item long, n_shared long, n_item long")
 
 
 def _join_search(docs: DataFrame, table: DataFrame, num: int, den: int) -> DataFrame:
@@ -150,4 +150,4 @@ def _join_search(docs: DataFrame, table: DataFrame, num: int, den: int) -> DataF
     found = docs.select("row", "text").mapInPandas(hashes, "row long, h long").join(table.select("item", "need", F.explode("sketch").alias("h")), "h")
     pairs = found.groupBy("row", "item").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("row", "item")
     wide = pairs.join(docs, "row").join(table.select("item", F.col("text").alias("item_text")), "item")
-    return wide.mapInPandas(verify, "doc_id long, item long, n_shared long, n_item long")
+    return with_id(wide, verify, "doc_id long, item long, n_shared long, n_item long")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import chunks, one_name, word_shingles
+from millrace.llm.shared import chunks, one_name, with_id, word_shingles
 
 ONE_IN = 2
 #: Documents that are put in order in one group, and the most groups.
@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = [("" if t is None else t).encode("utf-8", "surrogatepass") for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "fingerprint": [written(s, one_in) for s in sketches(texts, one_in)]})
 
-    return one_name(docs, {"doc_id": id_col, "text": text_col}).mapInPandas(sketch, "doc_id long, fingerprint string")
+    return with_id(one_name(docs, {"doc_id": id_col, "text": text_col}), sketch, "doc_id long, fingerprint string")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -141,4 +141,4 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     out.append((batch["doc_id"].iloc[i], len(text[i]), hashlib.sha256(e).hexdigest(), written(a, one_in), written(c, one_in), likeness(a, c), likeness(a, following), containment(a, c)))
                 yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "in_edited"])
 
-    return rows.mapInPandas(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, in_edited double")
+    return with_id(rows, compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, in_edited double")

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import one_name, scratch
+from millrace.llm.shared import one_name, scratch, with_id
 
 WINDOW = 2048
 END_ID = 1
@@ -133,7 +133,7 @@ def encoder(path: str) -> Encoder:
 
 
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, start, length, ids_crc32, doc_tokens[, ids binary], a written table."""
+    """docs(doc_id, text) -> doc_id, row (a number of its own for each document), start, length, ids_crc32, doc_tokens[, ids binary], a written table."""
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,17 +143,18 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
                 for at in range(0, len(batch), 500):
                     part = batch.iloc[at : at + 500]
                     out = []
-                    for doc, ids in zip(part["doc_id"], enc.texts(list(part["text"])), strict=True):
+                    for doc, row, ids in zip(part["doc_id"], part["row"], enc.texts(list(part["text"])), strict=True):
                         ids += end
                         n = len(ids) // 4
                         for start in range(0, n, window):
                             piece = ids[4 * start : 4 * (start + window)]
-                            out.append((doc, start, len(piece) // 4, zlib.crc32(piece), n, *([piece] if keep_ids else [])))
-                    yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * keep_ids])
+                            out.append((doc, row, start, len(piece) // 4, zlib.crc32(piece), n, *([piece] if keep_ids else [])))
+                    yield pd.DataFrame(out, columns=["doc_id", "row", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * keep_ids])
         finally:
             enc.forget()  # workers live on after the task
 
-    return scratch(docs.mapInPandas(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids), "pieces")
+    docs = docs.withColumn("row", F.monotonically_increasing_id())
+    return scratch(with_id(docs, cut, "doc_id long, row long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids), "pieces")
 
 
 class Windows:
@@ -211,14 +212,16 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     cut = pieces(one_name(docs, {"doc_id": id_col, "text": text_col}), path or vocabulary(), window, end_id, keep_ids)
     total = cut.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"), F.count("*").alias("rows")).first()
     bins = max(1, -(-total["tokens"] // BIN_TOKENS), -(-total["rows"] // BIN_ROWS))
-    cut = cut.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(bins)))
+    # by rows, as documents may be repeated; a null id goes to Python as a number and a mark, or all ids of its bin would be doubles
+    cut = cut.withColumns({"bin": F.pmod(F.xxhash64("row", "start"), F.lit(bins)), "none": F.col("doc_id").isNull(), "doc_id": F.coalesce("doc_id", F.lit(0))})
 
     def fill(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
+        b = b.sort_values(["length", "row", "start"], ascending=[False, True, True], kind="stable")
         seq, offset = best_fit(b["length"].to_numpy(), window)
         used = np.bincount(seq, b["length"].to_numpy()).astype(np.int64)
         pad = np.where((used & (used - 1)) == 0, 0, window - used)
-        return b.drop(columns="bin").assign(sequence_id=b["bin"].to_numpy() * (1 << 32) + seq, offset=offset, padding=pad[seq])
+        return b.drop(columns=["bin", "row"]).assign(sequence_id=b["bin"].to_numpy() * (1 << 32) + seq, offset=offset, padding=pad[seq])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.drop("bin").schema.fields)
-    return cut.groupBy("bin").applyInPandas(fill, f"{fields}, sequence_id long, offset long, padding long")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.drop("bin", "row").schema.fields)
+    filled = cut.groupBy("bin").applyInPandas(fill, f"{fields}, sequence_id long, offset long, padding long")
+    return filled.withColumn("doc_id", F.when(~F.col("none"), F.col("doc_id"))).drop("none")

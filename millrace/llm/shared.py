@@ -7,7 +7,7 @@ import re
 import tempfile
 import time
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -251,6 +251,13 @@ def free(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def with_id(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, id_col: str = "doc_id") -> DataFrame:
+    """mapInPandas() with a long id, null or not, that comes out as it went in: as whole numbers beside a null become doubles in pandas, it goes as text."""
+    held, own = f"{id_col} long", f"{id_col} string"
+    out = df.withColumn(id_col, F.col(id_col).cast("string")).mapInPandas(run, schema.replace(held, own, 1))
+    return out.withColumn(id_col, F.col(id_col).cast("long"))
+
+
 def one_name(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
     """Selects the wanted columns under the operator's own names, so that no other column can clash."""
     small_batches(df.sparkSession)

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import blocks, free, held_twice, mix, one_name, prefix_sums, scratch, span_hash, utf8
+from millrace.llm.shared import blocks, free, held_twice, mix, one_name, prefix_sums, scratch, span_hash, utf8, with_id
 
 #: A second base, for the other half of a 128-bit name.
 BASE2 = 0x27D4EB2F165667C5
@@ -256,7 +256,7 @@ def repeats(docs: DataFrame, length: int = 400) -> DataFrame:
                 yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "n_bytes": n, "starts": [s for s, _ in spans], "ends": [e for _, e in spans], "kept": kept})
 
     rows = docs.select("doc_id", "tid", sha, F.col("text").cast("binary").alias("text")).join(gone, ["tid", "sha"], "left")
-    return rows.select("doc_id", "text", "some", "starts", "ends").mapInPandas(keep, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
+    return with_id(rows.select("doc_id", "text", "some", "starts", "ends"), keep, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:

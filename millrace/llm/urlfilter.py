@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import one_name, scratch
+from millrace.llm.shared import one_name, scratch, with_id
 
 #: Verdict, host, path; a rule holds for its host and all subdomains, for paths that start with its own.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -157,7 +157,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                 said.append(verdicts[fit][0] if fit else "block" if len(hits) else "allow")
             yield b[["page_id", "host", "path"]].assign(rule=pd.Series(rule, dtype=object, index=b.index), verdict=said)
 
-    return d.mapInPandas(verdict, "page_id long, host string, path string, rule string, verdict string")
+    return with_id(d, verdict, "page_id long, host string, path string, rule string, verdict string", "page_id")
 
 
 def _looked_up(d: DataFrame, levels: list[Level], shard: int, shards: int, labels: frozenset[int], lengths: frozenset[int]) -> DataFrame:
@@ -179,7 +179,7 @@ def _looked_up(d: DataFrame, levels: list[Level], shard: int, shards: int, label
                 out.append(found)
             yield b.assign(hits=out)
 
-    return d.mapInPandas(look, "page_id long, host string, path string, hits array<string>")
+    return with_id(d, look, "page_id long, host string, path string, hits array<string>", "page_id")
 
 
 def in_shard(key: str, shard: int, shards: int) -> bool:
