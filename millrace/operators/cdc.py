@@ -15,6 +15,7 @@ from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, DataType, DateType, DecimalType, DoubleType, FloatType, IntegralType, StringType, TimestampType
 
@@ -148,16 +149,18 @@ def violations(checks: dict[str, str]) -> Column:
 
 
 def survivors(changes: DataFrame, stored: DataFrame, spec: TableSpec) -> DataFrame:
-    """changes(row_key, offset, is_delete, version) on stored(columns) -> row_key, offset, kept: which changes take effect.
+    """changes(row_key, offset, is_delete, version[, lsn]) on stored(columns) -> row_key, offset, kept: which changes take effect.
 
     Stored null versions are oldest; an incoming null loses to any stored value; equal versions: the incoming wins.
+    Where the spec goes by position, one with an lsn always takes effect: claim() and in_position() have judged it.
     A key's changes come to one task in order, after its stored row, one batch at a time; only its version is kept between them.
     """
     version = lambda c: (c.isNotNull().alias("has"), F.coalesce(c, F.lit(0)).cast("bigint").alias("v"))
     keys = changes.select("row_key").distinct()
     held = F.col(spec.version_col).cast("bigint") if spec.version_col else F.lit(None).cast("bigint")
-    have = stored.select(F.col(spec.id_col).cast("string").alias("row_key"), F.lit(-1).cast("bigint").alias("offset"), F.lit(False).alias("gone"), *version(held), F.lit(True).alias("held"))
-    rows = changes.select("row_key", F.col("offset").cast("bigint").alias("offset"), F.col("is_delete").alias("gone"), *version(F.col("version")), F.lit(False).alias("held"))
+    have = stored.select(F.col(spec.id_col).cast("string").alias("row_key"), F.lit(-1).cast("bigint").alias("offset"), F.lit(False).alias("gone"), *version(held), F.lit(True).alias("held"), F.lit(False).alias("placed"))
+    placed = F.col("lsn").isNotNull() if spec.by_position else F.lit(False)
+    rows = changes.select("row_key", F.col("offset").cast("bigint").alias("offset"), F.col("is_delete").alias("gone"), *version(F.col("version")), F.lit(False).alias("held"), placed.alias("placed"))
     rows = rows.union(have.join(keys, "row_key", "left_semi")).repartition("row_key").sortWithinPartitions("row_key", F.desc("held"), "offset")
     versioned = spec.version_col is not None
 
@@ -165,10 +168,10 @@ def survivors(changes: DataFrame, stored: DataFrame, spec: TableSpec) -> DataFra
         key, present, at = None, False, None
         for b in batches:
             kept = []
-            for k, gone, has, v, held in zip(b["row_key"], b["gone"], b["has"], b["v"], b["held"], strict=True):
+            for k, gone, has, v, held, placed in zip(b["row_key"], b["gone"], b["has"], b["v"], b["held"], b["placed"], strict=True):
                 if k != key:
                     key, present, at = k, False, None
-                guarded = versioned and not held and present and at is not None
+                guarded = versioned and not held and not placed and present and at is not None
                 stale = guarded and (has and v != 0 and at > v if gone else not has or at > v)
                 if not stale:
                     present, at = not gone, v if has and not gone else None
@@ -219,6 +222,25 @@ def claim(incoming: DataFrame, state: DataFrame) -> DataFrame:
     return incoming.join(s, F.col("row_key") == F.col("_k"), "left").where("_lsn is null or lsn is null or _lsn <= lsn").drop("_k", "_lsn")
 
 
+def in_position(changes: DataFrame) -> DataFrame:
+    """Of changes(row_key, offset, lsn, ...), those that no change of their key with a smaller offset is ahead of; without a position, all.
+
+    With claim() before it, what claiming them one at a time would leave.
+    """
+    before = W.partitionBy("row_key").orderBy("offset").rowsBetween(W.unboundedPreceding, -1)
+    return changes.withColumn("_ahead", F.max("lsn").over(before)).where("lsn is null or _ahead is null or _ahead <= lsn").drop("_ahead")
+
+
+def row_states(changes: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """row_key, lsn, deleted, updated_at after changes(row_key, offset, lsn, is_delete, timestamp) on stored ones; a position never goes back."""
+    now = changes.groupBy("row_key").agg(F.max("lsn").alias("lsn"), F.max_by("is_delete", "offset").alias("deleted"), F.max("timestamp").alias("updated_at"))
+    if stored is None:
+        return now
+    held = stored.select(F.col("row_key").alias("_k"), F.col("lsn").alias("_lsn"))
+    merged = now.join(held, F.col("row_key") == F.col("_k"), "left").select("row_key", F.greatest("lsn", "_lsn").alias("lsn"), "deleted", "updated_at")
+    return merged.unionByName(stored.join(now, "row_key", "left_anti").select(*merged.columns))
+
+
 def advance(log: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """(topic, partition, next_offset, last_record_at), never backwards."""
     now = log.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("next_offset"), F.max_by("timestamp", "offset").alias("last_record_at"))

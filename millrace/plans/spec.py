@@ -22,7 +22,7 @@ class Relation:
 class TableSpec:
     """A table with one key column. kinds: column -> instant, date, timestamptz or clock, where its type doesn't tell.
 
-    checks: name -> SQL condition that rows keep.
+    checks: name -> SQL condition that rows keep. by_position: a change that has a log position is judged by it alone, not by the row's version.
     """
 
     name: str
@@ -33,6 +33,7 @@ class TableSpec:
     kinds: dict[str, str] = field(default_factory=dict)
     relations: tuple[Relation, ...] = ()
     checks: dict[str, str] = field(default_factory=dict)
+    by_position: bool = False
 
     def kind(self, column: str, of: DataType) -> str | None:
         if column in self.kinds:

@@ -63,7 +63,7 @@ def deliver(records: DataFrame, handler: Callable[[dict], None], group: str, att
 
 def apply_batch(batch: DataFrame, batch_id: int | None, store: VersionedStore, spec: TableSpec, group: str = "replica") -> dict[str, int]:
     """One batch: skip what is covered, park what can't be decoded or breaks a check, refuse positions (lsn) below a row's
-    own, fold the rest, and commit rows, row states, positions and dead letters together. Returns totals.
+    own or that of a change before, fold the rest, and commit rows, row states, positions and dead letters together. Returns totals.
 
     Reads and rewrites only the buckets that the batch's keys fall into.
     """
@@ -84,14 +84,12 @@ def apply_batch(batch: DataFrame, batch_id: int | None, store: VersionedStore, s
         bad = bad.select("topic", "partition", "offset", F.concat(F.lit("checks: "), F.array_join("broken", ",")).alias("broken"))
         judged = fresh.join(bad, ["topic", "partition", "offset"], "left").withColumn("reason", F.coalesce("reason", "broken"))
         good = judged.where("kind = 'change' and reason is null")
-        good = good if state is None else cdc.claim(good, state)
-        result = cdc.fold(good.select("row_key", "offset", "is_delete", "version", "row"), rows, spec)
-        now = good.groupBy("row_key").agg(F.max("lsn").alias("lsn"), F.max_by("is_delete", "offset").alias("deleted"), F.max("timestamp").alias("updated_at"))
-        now = now if state is None else now.unionByName(state.join(now, "row_key", "left_anti"))
+        good = cdc.in_position(good if state is None else cdc.claim(good, state))
+        result = cdc.fold(good.select("row_key", "offset", "is_delete", "version", "row", "lsn"), rows, spec)
         n = lambda condition: F.count_if(F.expr(condition))
         totals = judged.agg(F.count("*").alias("records"), n("kind = 'change' and reason is null").alias("decoded"), n("reason is not null").alias("dead_lettered"), n("kind = 'tombstone'").alias("tombstones")).first().asDict()
         totals["applied"] = good.count()
-        tables = {"data": cdc.apply_rows(rows, result, spec), "state": now, "checkpoints": cdc.advance(batch, checkpoints)}
+        tables = {"data": cdc.apply_rows(rows, result, spec), "state": cdc.row_states(good, state), "checkpoints": cdc.advance(batch, checkpoints)}
         if totals["dead_lettered"]:
             parked = judged.where("reason is not null").select("topic", "partition", "offset", "key", "value", "headers", "timestamp", "reason")
             tables["letters"] = dead_letters(parked, group)

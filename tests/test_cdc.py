@@ -201,6 +201,60 @@ def test_positions_below_a_row_s_own_are_refused(spark, tmp_path):
     assert {r.id: r.owner for r in store.read("data").collect()} == {1: "newest", 3: "own"}
 
 
+def placed(seed, n):
+    """Changes of few rows whose positions come out of order, or lack; versions that restart."""
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        rec = list(record(i, r.choice("cuuuurd"), r.randint(1, 6), r.choice([None, *range(12)]), f"o{i}"))
+        body = json.loads(rec[4])
+        body["source"]["lsn"] = r.choice([None, *[r.randint(1, 2 * n)] * 3])
+        rec[4] = json.dumps(body)
+        out.append(tuple(rec))
+    return out
+
+
+def placed_model(records, by_position):
+    """One change at a time: a position below the row's own is refused, whatever the row; versions guard what has none, or all."""
+    rows, state = {}, {}
+    for rec in records:
+        e = json.loads(rec[4])
+        image, lsn = e["after"] or e["before"], e["source"]["lsn"]
+        key, version = json.loads(rec[3])["id"], image["version"] if image else None
+        if lsn is not None and state.get(key) is not None and state[key] > lsn:
+            continue
+        if lsn is not None:
+            state[key] = lsn
+        held = rows[key]["version"] if key in rows else None
+        stale = held is not None and (version not in (None, 0) and held > version if e["op"] == "d" else version is None or held > version)
+        if stale and not (by_position and lsn is not None):
+            continue
+        rows.pop(key, None)
+        if e["op"] != "d":
+            rows[key] = image
+    return {k: (v["owner"], v["version"]) for k, v in rows.items()}, state
+
+
+@pytest.mark.parametrize(("seed", "by_position"), [(1, True), (2, True), (3, False)])
+def test_positions_out_of_order_within_a_batch(spark, tmp_path, seed, by_position):
+    spec = TableSpec("accounts", "id", SCHEMA, version_col="version", by_position=by_position)
+    store, records = VersionedStore(spark, str(tmp_path / "r"), buckets=2), placed(seed, 60)
+    for i, (lo, hi) in enumerate([(0, 25), (25, 27), (27, 60)]):
+        stream.apply_batch(spark.createDataFrame(records[lo:hi], changelog.SCHEMA).repartition(3), i, store, spec)
+    rows, state = placed_model(records, by_position)
+    assert {r.id: (r.owner, r.version) for r in store.read("data").collect()} == rows
+    assert {int(r.row_key): r.lsn for r in store.read("state").collect() if r.lsn is not None} == state
+
+
+def test_the_older_of_two_positions_in_a_batch_loses(spark, tmp_path):
+    store, batch = VersionedStore(spark, str(tmp_path / "r"), buckets=2), []
+    for offset, lsn, owner in ((0, 200, "newer"), (1, 100, "older")):
+        batch.append(record(offset, "u", 1, value=json.dumps({"op": "u", "after": {"id": 1, "owner": owner}, "source": {"table": "accounts", "lsn": lsn}})))
+    stream.apply_batch(spark.createDataFrame(batch, changelog.SCHEMA), 0, store, TableSpec("accounts", "id", SCHEMA))
+    assert [(r.owner,) for r in store.read("data").collect()] == [("newer",)]
+    assert [(r.lsn,) for r in store.read("state").collect()] == [(200,)]
+
+
 def test_offsets_that_start_anew_stop_the_stream(spark, tmp_path):
     store = VersionedStore(spark, str(tmp_path / "r"), buckets=2)
     stream.apply_batch(spark.createDataFrame(history(1, 20), changelog.SCHEMA), 0, store, SPEC)
