@@ -520,6 +520,13 @@ def cdc_row_state(spark: SparkSession, sf: str) -> DataFrame:
     return cdc.claim(every.where("op = 'c'").groupBy("row_key").agg(F.max("lsn").alias("lsn")), state)
 
 
+@query(f"SELECT event_id FROM (SELECT event_id, max(event_id * 10) OVER (PARTITION BY user_id ORDER BY event_id * 7919 % 1000003 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ahead FROM {LOG} WHERE kind = 'change') WHERE ahead IS NULL OR ahead <= event_id * 10")
+def cdc_in_position(spark: SparkSession, sf: str) -> DataFrame:
+    """The log delivered in another order: what is behind a position that its row has had is refused."""
+    scrambled = changes(spark, sf).withColumn("event_id", F.col("offset")).withColumn("offset", F.col("offset") * 7919 % 1000003)
+    return cdc.in_position(scrambled).select("event_id")
+
+
 def folded(spark: SparkSession, sf: str) -> DataFrame:
     stored = t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.lit("stored").alias("event_type"), F.lit(2500).cast("bigint").alias("version"))
     return cdc.fold(changes(spark, sf).select("row_key", "offset", "is_delete", "version", "row"), stored, REPLICA)
@@ -641,10 +648,17 @@ def backfill_where_distinct(spark: SparkSession, sf: str) -> DataFrame:
     return writes.backfill(c, CUSTOMER, "c_mktsegment", low, size=1000)[1]
 
 
-BANK = """(WITH a AS (SELECT c_custkey AS account, CAST(round(c_acctbal * 5000) AS BIGINT) AS balance, c_custkey % 17 <> 0 AS active FROM customer),
+#: Transfers one at a time: each waits for those before it on both of its accounts, and hands on their balances.
+BANK = """(WITH RECURSIVE a AS (SELECT c_custkey AS account, CAST(round(c_acctbal * 5000) AS BIGINT) AS balance, c_custkey % 17 <> 0 AS active FROM customer),
 o AS (SELECT o_orderkey AS id, o_custkey AS debit, o_custkey * 7 % (SELECT count(*) FROM customer) AS credit, CAST(round(o_totalprice * 100) AS BIGINT) - 500000 AS cents FROM orders),
-j AS (SELECT o.*, d.balance, CASE WHEN cents <= 0 THEN 'not positive' WHEN debit = credit THEN 'self' WHEN d.balance IS NULL OR c.balance IS NULL THEN 'unknown' WHEN NOT d.active OR NOT c.active THEN 'inactive' END AS refused FROM o LEFT JOIN a d ON d.account = debit LEFT JOIN a c ON c.account = credit),
-v AS (SELECT *, coalesce(refused, CASE WHEN sum(CASE WHEN refused IS NULL THEN cents END) OVER (PARTITION BY debit ORDER BY id) > balance THEN 'insufficient' ELSE 'posted' END) AS verdict FROM j)"""
+j AS (SELECT o.*, d.balance AS d0, c.balance AS c0, CASE WHEN cents <= 0 THEN 'not positive' WHEN debit = credit THEN 'self' WHEN d.balance IS NULL OR c.balance IS NULL THEN 'unknown' WHEN NOT d.active OR NOT c.active THEN 'inactive' END AS refused FROM o LEFT JOIN a d ON d.account = debit LEFT JOIN a c ON c.account = credit),
+s AS (SELECT id, account, lag(id) OVER (PARTITION BY account ORDER BY id) AS prev FROM (SELECT id, unnest([debit, credit]) AS account FROM j WHERE refused IS NULL)),
+p AS MATERIALIZED (SELECT j.id, debit, credit, cents, d0, c0, x.prev AS pd, y.prev AS pc FROM j JOIN s x ON x.id = j.id AND x.account = debit JOIN s y ON y.id = j.id AND y.account = credit WHERE refused IS NULL),
+run(id, debit, credit, dv, cv, ok) USING KEY (id) AS (SELECT id, debit, credit, d0 - CASE WHEN cents <= d0 THEN cents ELSE 0 END, c0 + CASE WHEN cents <= d0 THEN cents ELSE 0 END, cents <= d0 FROM p WHERE pd IS NULL AND pc IS NULL
+UNION ALL SELECT id, debit, credit, d - CASE WHEN cents <= d THEN cents ELSE 0 END, c + CASE WHEN cents <= d THEN cents ELSE 0 END, cents <= d FROM (
+SELECT p.id, p.debit, p.credit, p.cents, CASE WHEN pd IS NULL THEN d0 WHEN x.debit = p.debit THEN x.dv ELSE x.cv END AS d, CASE WHEN pc IS NULL THEN c0 WHEN y.debit = p.credit THEN y.dv ELSE y.cv END AS c
+FROM p LEFT JOIN recurring.run x ON x.id = pd LEFT JOIN recurring.run y ON y.id = pc WHERE (pd IN (SELECT id FROM run) OR pc IN (SELECT id FROM run)) AND (pd IS NULL OR x.id IS NOT NULL) AND (pc IS NULL OR y.id IS NOT NULL))),
+v AS (SELECT j.id, j.debit, j.credit, j.cents, coalesce(refused, CASE WHEN ok THEN 'posted' ELSE 'insufficient' END) AS verdict FROM j LEFT JOIN run ON run.id = j.id)"""
 
 
 def bank(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:

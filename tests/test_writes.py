@@ -54,7 +54,7 @@ def test_transfers_against_a_loop(spark):
     rng = random.Random(3)
     accounts = {i: (rng.randint(0, 500), rng.random() > 0.2) for i in range(12)}
     asked = [(i, rng.randrange(13), rng.randrange(13), rng.randint(-20, 200)) for i in range(150)]
-    sent, want, after = {}, {}, {a: b for a, (b, _) in accounts.items()}
+    want, after = {}, {a: b for a, (b, _) in accounts.items()}
     for i, d, c, n in asked:
         if n <= 0:
             want[i] = "not positive"
@@ -65,8 +65,7 @@ def test_transfers_against_a_loop(spark):
         elif not (accounts[d][1] and accounts[c][1]):
             want[i] = "inactive"
         else:
-            sent[d] = sent.get(d, 0) + n
-            want[i] = "insufficient" if sent[d] > accounts[d][0] else "posted"
+            want[i] = "insufficient" if n > after[d] else "posted"
             if want[i] == "posted":
                 after[d], after[c] = after[d] - n, after[c] + n
     judged, legs, balances = ledger.post(spark.createDataFrame(asked, "id long, debit long, credit long, cents long"), spark.createDataFrame([(a, b, x) for a, (b, x) in accounts.items()], "account long, balance long, active boolean"))
