@@ -713,6 +713,14 @@ def token_bucket(spark: SparkSession, sf: str) -> DataFrame:
     return rates.token_bucket(t(spark, sf, "events"), "user_id", "ts", "event_id", 1 / 7200, 3, 172_800).select("event_id", "allowed", F.round("retry_after", 3).alias("retry_after"))
 
 
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+b AS (SELECT event_id, user_id, rn, ts AS held, true AS kept FROM e WHERE rn = 1
+UNION ALL SELECT e.event_id, e.user_id, e.rn, CASE WHEN e.ts >= b.held + INTERVAL 20 HOUR THEN e.ts ELSE b.held END, e.ts >= b.held + INTERVAL 20 HOUR FROM b JOIN e ON e.user_id = b.user_id AND e.rn = b.rn + 1)
+SELECT user_id, event_id FROM b WHERE kept""")
+def dedup_within_ttl(spark: SparkSession, sf: str) -> DataFrame:
+    return rates.unique_within(t(spark, sf, "events"), "user_id", "ts", "event_id", 72_000, span=4).select("user_id", "event_id")
+
+
 D = lambda spark, sf: t(spark, sf, "documents")
 
 
