@@ -280,6 +280,28 @@ def test_language_id_rejects(spark, size):
     assert (again.limits == model.limits).all()
 
 
+@pytest.mark.parametrize("cells", [1_000_000, 4000])
+def test_language_id_in_tables(spark, monkeypatch, cells):
+    """A model beyond max_cells says what the one in memory says: no n-gram is left out, and a text may span blocks."""
+    monkeypatch.setattr(langid, "BLOCK_CELLS", cells)
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", F.lit(1).alias("n"), F.lit(2).alias("_row"))
+    more = [(2**60 + 1, "Все люди рождаются 𝔘𝔫𝔦 свободными", "ru", 1, 2), (None, None, "en", 1, 2), (7, "12 !", "en", 1, 2), (8, "a", None, 1, 2), (8, "a", None, 1, 2), (9, "日本語", None, 1, 2)]
+    d = d.union(spark.createDataFrame(more, "doc_id long, text string, lang string, n int, _row int"))
+    rows = d.where(~langid.held_out())
+    small, large = langid.fit(rows), langid.fit(rows, max_cells=10)
+    assert isinstance(small, langid.Model)
+    assert isinstance(large, langid.Spread)
+    assert large.langs == small.langs
+    assert large.limits == pytest.approx(small.limits, abs=0.01)
+    assert large.sharpness == pytest.approx(small.sharpness, rel=0.05)
+    large.sharpness = small.sharpness  # steps of the middle may fall apart by one
+    want, got = (sorted(langid.predict(d, m).collect(), key=lambda r: (str(r.doc_id), str(r.text))) for m in (small, large))
+    assert len(got) == d.count()
+    for a, b in zip(want, got, strict=True):
+        assert a[:6] == b[:6]
+        assert (a.rejected, b.score, b.bits) == (b.rejected, pytest.approx(a.score, abs=1e-3), pytest.approx(a.bits, abs=1e-3))
+
+
 def test_kneser_ney_sums_to_one():
     import pandas as pd
 
