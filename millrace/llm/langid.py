@@ -431,10 +431,10 @@ def held_in_tables(train: DataFrame, counts: DataFrame) -> tuple[Spread, DataFra
     return model, reduce(DataFrame.union, found)
 
 
-def fit(train: DataFrame, min_count: int = 1, margin: float = 1.25, max_cells: int = MAX_CELLS) -> Model | Spread | None:
+def fit(train: DataFrame, min_count: int = 1, margin: float = 1.25, max_cells: int | None = None) -> Model | Spread | None:
     """A model of train(text, lang), its rejection limits and sharpness set on every training row with a letter.
 
-    N-grams that occur less than min_count times are left out. Of more than max_cells values it stays in tables.
+    N-grams that occur less than min_count times are left out. Of more than max_cells values (null: MAX_CELLS) it stays in tables.
     """
     small_batches(train.sparkSession)
     train = train.where("lang is not null and text is not null").select("text", "lang", (F.crc32("text") % 2).cast("int").alias("half"))
@@ -442,7 +442,7 @@ def fit(train: DataFrame, min_count: int = 1, margin: float = 1.25, max_cells: i
     size = counts.agg(F.count_distinct("lang").alias("langs"), F.count("*").alias("rows")).first()
     if not size["rows"]:
         return None
-    model, found = (held_by_workers if size["rows"] * size["langs"] <= max_cells else held_in_tables)(train, counts)
+    model, found = (held_by_workers if size["rows"] * size["langs"] <= (MAX_CELLS if max_cells is None else max_cells) else held_in_tables)(train, counts)
     found = found.toPandas()
     bits, gap = found[found["kind"] == "bits"], found[found["kind"] == "gap"]
     if len(bits):

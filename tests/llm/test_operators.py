@@ -500,6 +500,25 @@ def test_pipeline_on_hard_rows(spark, hard, tmp_path):
     assert frame.count() == 0
 
 
+def test_pipeline_keeps_what_a_large_model_keeps(spark, monkeypatch):
+    """The first stage drops and keeps the same rows where its model doesn't fit into workers; no row is lost for it."""
+    import corpus_pipeline
+
+    foreign = [(2**60 + 1, "Все люди рождаются свободными и равными в своем достоинстве и правах.", None, "s", None), (None, "der und die das " * 9, "de", None, 3), (None, None, "en", "s", 4)]
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = given.union(spark.createDataFrame(foreign, given.schema))
+    want = corpus_pipeline.language(spark, docs, SF).collect()
+    fit = langid.fit
+    made = []
+    monkeypatch.setattr(langid, "fit", lambda *a, **k: made.append(fit(*a, **k)) or made[-1])
+    monkeypatch.setattr(langid, "MAX_CELLS", 1000)
+    got = corpus_pipeline.language(spark, docs, SF)
+    assert got.schema == docs.schema
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want))
+    assert isinstance(made[0], langid.Spread)
+    assert docs.count() - 5 <= len(want) < docs.count()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
