@@ -1,15 +1,21 @@
 """HTML extraction (10): host suffix array over the pages' token streams; markup is a veto and a weight.
 
-A page is cut into blocks, each with what the markup says of it. Blocks of <article> or <main> that nothing speaks against
-stay, whatever other pages say: articles of one host may share passages. Blocks in navigation, headers, footers, asides,
-forms and the like, or in elements whose class, id or role says so, go. All others are for the host suffix array to
-decide: those in an article whose class or id may mean either, and all of a page without an article.
+A page is cut into blocks, each with what the markup says of it. Blocks in navigation, headers, footers, asides, forms
+and the like, or in elements whose class, id or role says so, go. All others are for the host suffix array to decide, and
+markup says how much it takes: of blocks in an article whose class or id may mean either, and of all of a page without an
+article, what one other page has; of blocks of <article> or <main> that nothing speaks against, what most articles have.
 
-The tokens of all blocks but an article's own are concatenated by page; the suffixes of all pages of a host are sorted by
-(host, first `tokens` tokens) and neighbours of distinct pages compared. Tokens covered by a repeated substring are
-boilerplate and go; the runs between them stay. Where less than `tokens` tokens of a block are covered in a row, and not
-all of it, a neighbour's boilerplate has only begun or ended like it: they stay too. Pages with one and the same stream count as one page. Hosts without an
-undecided block need no suffixes. Suffixes of a hot host or a common line meet once a block only (see held_twice).
+An article's own: its suffixes are counted by (host, first `tokens` tokens). Substrings that more than half of the host's
+articles hold, LEAST of them at least, by pages and by distinct articles, are boilerplate; blocks that they cover from end
+to end go. Articles of one host may share passages: those of fewer stay, and so does a page of which more than half would
+go, as it is a copy. A substring that most of a host's pages have, most pages of some block of pages have too: only those
+are counted over all pages (see common).
+
+The rest: the tokens of all blocks but an article's own are concatenated by page; the suffixes of all pages of a host are
+sorted by (host, first `tokens` tokens) and neighbours of distinct pages compared. Tokens covered by a repeated substring
+are boilerplate and go; the runs between them stay. Where less than `tokens` tokens of a block are covered in a row, and not
+all of it, a neighbour's boilerplate has only begun or ended like it: they stay too. Pages with one and the same stream count
+as one page. Hosts without an undecided block need no such suffixes. Suffixes of a hot host or a common line meet once a block only (see held_twice).
 
 Character references are decoded, white space inside a block is one space, blocks are joined by an empty line. Null or
 empty html, or a page without text: an empty string. url null: the host is empty. Repeated rows come out each.
@@ -37,6 +43,10 @@ from millrace.llm.urlfilter import host_and_path
 TOKENS = 12
 #: Hosts with an undecided block are broadcast up to this number; more are shuffled.
 BROADCAST_HOSTS = 1_000_000
+#: What fewer of a host's distinct articles hold is no boilerplate where markup calls it the article's own.
+LEAST = 20
+#: Suffixes of articles that are counted at once; and how many, of those that may be common, are broadcast: of more, all are shuffled.
+SUFFIXES, WANTED = 500_000, 1_000_000
 #: Elements by what they do to text.
 RAW = ("script", "style", "template", "noscript", "iframe", "svg", "canvas", "textarea", "title")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -202,6 +212,112 @@ def windows(host: str, words: list[str], tokens: int, memo: dict[str, int]) -> t
     return a, b
 
 
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = found = xxhash.xxh64_intdigest(word)
+        return found
+
+
+def own_blocks(sure: str | None, texts: object, marks: object) -> list[str]:
+    """The article's own blocks of a page."""
+    return [t for t in sure.split("\n\n") if t] if sure is not None else [t for t, said in zip(texts, marks, strict=True) if said == OWN]
+
+
+def own_suffixes(places: np.ndarray, articles: list[list[str]], tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64 bits of (host, first `tokens` tokens) of each suffix that is long enough: these, the article's number, and the token's place among those of all articles."""
+    memo = _Hashes()
+    words = [" ".join(x).split() for x in articles]
+    h = np.fromiter((memo[w] for x in words for w in x), np.uint64)
+    of = np.repeat(np.arange(len(words)), [len(x) for x in words])
+    size = 1
+    while size * 2 <= tokens:
+        h, size = mix(h[:-size] * np.uint64(0x9E3779B97F4A7C15) + h[size:]), size * 2
+    if rest := tokens - size:  # two that overlap
+        h = mix(h[:-rest] * np.uint64(0xD6E8FEB86659FD93) + h[rest:])
+    at = np.flatnonzero(of[: len(h)] == of[tokens - 1 : tokens - 1 + len(h)]) if len(of) >= tokens else np.zeros(0, np.int64)
+    return mix(h[at] ^ places.view(np.uint64)[of[at]]).view(np.int64), of[at], at
+
+
+def trimmed(place: int, article: list[str], common: np.ndarray, tokens: int) -> list[bool]:
+    """Of each block of an article, whether it stays."""
+    n = np.array([len(t.split()) for t in article], np.int64)
+    slot, _, at = own_suffixes(np.array([place], np.int64), [article], tokens)
+    edge = np.zeros(n.sum() + 1, np.int64)
+    start = at[np.isin(slot, common)]
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + tokens, -1)
+    left = np.concatenate([[0], np.cumsum(np.cumsum(edge)[:-1] == 0)])
+    ends = np.cumsum(n)
+    stays = left[ends] - left[ends - n] > 0
+    return [True] * len(article) if 2 * n[~stays].sum() > n.sum() else list(stays)
+
+
+def common(parsed: DataFrame, tokens: int) -> DataFrame | None:
+    """(place, common): the suffixes' heads that most articles of a host (place) hold; None where no host has any.
+
+    Pages come in blocks. Whatever most pages of a host hold, most of its pages in one of the blocks hold: a block
+    sends those alone. They are then counted over all pages, by pages and by distinct articles.
+    """
+    articles = parsed.where("article <> 0 and host <> ''")
+    hosts = articles.groupBy("place", "article").agg(F.count("*").alias("n")).groupBy("place").agg(F.sum("n").alias("pages"), F.count("*").alias("articles"))
+    hosts = scratch(hosts.where(F.col("articles") >= LEAST), "articles")
+    if not (many := hosts.count()):
+        return None
+    some = F.broadcast(hosts.select("place")) if many <= BROADCAST_HOSTS else hosts.select("place")
+    judged = articles.join(some, "place", "left_semi").select("place", "article", "sure", "blocks", "marks")
+
+    def suffixes(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct ones of each page, and the page's number."""
+        slot, of, _ = own_suffixes(b["place"].to_numpy(np.int64), [own_blocks(*x) for x in zip(b["sure"], b["blocks"], b["marks"], strict=True)], tokens)
+        order = np.lexsort((of, slot))
+        slot, of = slot[order], of[order]
+        first = np.ones(len(slot), bool)
+        first[1:] = (slot[1:] != slot[:-1]) | (of[1:] != of[:-1])
+        return slot[first], of[first]
+
+    def most(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+        slot, place, pages = (np.concatenate(x) for x in zip(*held, strict=True))
+        known, pages = np.unique(pages, return_counts=True)
+        order = np.argsort(slot, kind="stable")
+        slot, place = slot[order], place[order]
+        first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(slot)))
+        return pd.DataFrame({"slot": slot[first[2 * n > pages[np.searchsorted(known, place[first])]]]})
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for b in batches:
+            place = b["place"].to_numpy(np.int64)
+            slot, of = suffixes(b)
+            held.append((slot, place[of], place))
+            n += len(slot)
+            if n > SUFFIXES:
+                yield most(held)
+                held, n = [], 0
+        if held:
+            yield most(held)
+
+    maybe = scratch(judged.mapInPandas(local, "slot long").distinct(), "maybe")
+    if not (many := maybe.count()):
+        return None
+    wanted = parsed.sparkSession.sparkContext.broadcast(np.sort(maybe.toPandas()["slot"].to_numpy(np.int64)) if many <= WANTED else None)
+
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            slot, of = suffixes(b)
+            if wanted.value is not None:
+                some = np.isin(slot, wanted.value)
+                slot, of = slot[some], of[some]
+            yield pd.DataFrame({"slot": slot, "place": b["place"].to_numpy(np.int64)[of], "article": b["article"].to_numpy(np.int64)[of]})
+
+    rows = judged.mapInPandas(held, "slot long, place long, article long")
+    counts = rows.groupBy("slot", "place", "article").agg(F.count("*").alias("n")).groupBy("slot", "place").agg(F.sum("n").alias("on"), F.count("*").alias("in"))
+    over = counts.join(hosts, "place").where((F.col("on") * 2 > F.col("pages")) & (F.col("in") * 2 > F.col("articles")) & (F.col("in") >= LEAST))
+    found = scratch(over.groupBy("place").agg(F.collect_set("slot").alias("common")), "common")
+    many = found.agg(F.sum(F.size("common"))).first()[0] or 0
+    return (F.broadcast(found) if many <= WANTED else found) if many else None
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", tokens: int = TOKENS) -> DataFrame:
     """One row a page: page_id, url, text, n_chars."""
     d = one_name(pages, {"page_id": id_col, "url": url_col, "html": html_col})
@@ -215,12 +331,16 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 open_ = any(said in (LOOSE, EITHER) for _, said in found)
                 sure = None if open_ else "\n\n".join([t for t, said in found if said == OWN])
                 texts, marks = zip(*found, strict=True) if open_ else ((), ())
-                out.append((sure, list(texts), list(marks), stream, xxhash.xxh64_intdigest(f"{host}\n{stream}") - 2**63))
-            yield b[["page_id", "url", "host"]].assign(**dict(zip(("sure", "blocks", "marks", "stream", "content"), (list(c) for c in zip(*out, strict=True)), strict=True))) if out else pd.DataFrame()
+                own = "\n\n".join([t for t, said in found if said == OWN])
+                article = (xxhash.xxh64_intdigest(own) or 1) - 2**63 if own else 0
+                out.append((sure, list(texts), list(marks), stream, xxhash.xxh64_intdigest(f"{host}\n{stream}") - 2**63, xxhash.xxh64_intdigest(host) - 2**63, article))
+            yield b[["page_id", "url", "host"]].assign(**dict(zip(("sure", "blocks", "marks", "stream", "content", "place", "article"), (list(c) for c in zip(*out, strict=True)), strict=True))) if out else pd.DataFrame()
 
     host = host_and_path(F.col("url"))[0]
-    parsed = with_id(d.select("page_id", "url", host.alias("host"), "html"), parse, "page_id long, url string, host string, sure string, blocks array<string>, marks array<int>, stream string, content long", "page_id")
+    parsed = with_id(d.select("page_id", "url", host.alias("host"), "html"), parse, "page_id long, url string, host string, sure string, blocks array<string>, marks array<int>, stream string, content long, place long, article long", "page_id")
     parsed = scratch(parsed, "parsed")
+    of_hosts = common(parsed, tokens)
+    parsed = parsed.withColumn("common", F.lit(None).cast("array<long>")) if of_hosts is None else parsed.join(of_hosts, "place", "left")
     alone = parsed.where("sure is null")
     hosts = scratch(alone.select("host").distinct(), "hosts")
     few = hosts.count() <= BROADCAST_HOSTS
@@ -245,7 +365,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for b in batches:
             memo: dict[str, int] = {}
             texts = []
-            for host, found, marks, stream, keys in zip(b["host"], b["blocks"], b["marks"], b["stream"], b["keys"], strict=True):
+            for host, place, found, marks, stream, keys, often in zip(*(b[c] for c in ("host", "place", "blocks", "marks", "stream", "keys", "common")), strict=True):
+                article = own_blocks(None, found, marks)
+                stays = iter([True] * len(article) if often is None else trimmed(place, article, often, tokens))
                 words = stream.split()
                 gone = np.zeros(len(words) + 1, np.int64)
                 if keys is not None and len(keys):
@@ -256,7 +378,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 kept, at = [], 0
                 for block, said in zip(found, marks, strict=True):
                     if said == OWN:
-                        kept.append(block)
+                        kept += [block] if next(stays) else []
                         continue
                     n = len(block.split(" "))
                     own_words, mask = words[at : at + n], gone[at : at + n]
@@ -271,7 +393,19 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 texts.append("\n\n".join(kept))
             yield b[["page_id", "url"]].assign(text=texts)
 
-    rest = alone.join(covered, F.col("content") == F.col("of"), "left").select("page_id", "url", "host", "blocks", "marks", "stream", "keys")
+    rest = alone.join(covered, F.col("content") == F.col("of"), "left").select("page_id", "url", "host", "place", "blocks", "marks", "stream", "keys", "common")
     rest = with_id(rest, own, "page_id long, url string, text string", "page_id")
-    out = parsed.where("sure is not null").select("page_id", "url", F.col("sure").alias("text")).union(rest)
+    out = parsed.where("sure is not null and common is null").select("page_id", "url", F.col("sure").alias("text")).union(rest)
+    if of_hosts is not None:
+
+        def trim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                texts = []
+                for place, sure, often in zip(b["place"], b["sure"], b["common"], strict=True):
+                    article = own_blocks(sure, None, None)
+                    texts.append("\n\n".join(t for t, stays in zip(article, trimmed(place, article, often, tokens), strict=True) if stays))
+                yield b[["page_id", "url"]].assign(text=texts)
+
+        told = parsed.where("sure is not null and common is not null").select("page_id", "url", "place", "sure", "common")
+        out = out.union(with_id(told, trim, "page_id long, url string, text string", "page_id"))
     return out.withColumn("n_chars", F.length("text").cast("bigint"))

@@ -345,6 +345,40 @@ def test_html_where_markup_says_nothing(spark):
     assert {i for i in odd if shared in got[i]} == {35}  # the only one of its host
 
 
+@pytest.mark.parametrize(("suffixes", "wanted"), [(500_000, 1_000_000), (100, 0)])
+def test_html_boilerplate_in_articles(spark, monkeypatch, suffixes, wanted):
+    """What most articles of a host have goes, though its markup is an article's own; what fewer share, copies and small hosts stay."""
+    monkeypatch.setattr(html_extract, "SUFFIXES", suffixes)
+    monkeypatch.setattr(html_extract, "WANTED", wanted)
+    rng = random.Random(8)
+    plug, tail, shared, one = (words(rng, n) for n in (15, 14, 30, 100))
+    rows, want = [], {}
+
+    def page(host, kept, *more, around="<article>%s</article>"):
+        i = len(rows)
+        rows.append((i, f"http://{host}.com/{i}" if host else None, "<nav>menu</nav>" + around % "".join(f"<p>{x}</p>" for x in (*kept[:1], *more, *kept[1:]))))
+        want[i] = "\n\n".join(kept)
+
+    for i in range(24):
+        own = [words(rng, 40), *([shared] if i < 9 else []), words(rng, 50) + (f" {plug[:20]}" if i == 3 else "")]
+        if i == 7:  # a page that is little but what all have: a copy, or no article to speak of
+            page("hot", [own[0][:8], plug, tail])
+        elif i == 8:  # a page with a block for the other suffixes to judge
+            page("hot", [own[0], own[-1]], plug, tail, around="<article>%s<div class='share'>ask us</div></article>")
+            want[8] += "\n\nask us"
+        else:
+            page("hot", own, *([plug, tail] if i < 20 else []))
+    for i in range(24):  # copies but for a block; one article; pages without a host; a host of few articles
+        page("copies", [one, words(rng, 10)])
+        page("same", [one, plug])
+        page(None, [words(rng, 30), plug])
+        if i < 19:
+            page("small", [words(rng, 30), plug])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert got == want
+
+
 def test_html_reader_comments_and_names(spark):
     page = "<article><p>one</p><ol class='comment-list'><li>mine</li></ol><aside>no</aside><div class='ad'>no</div><div role='navigation'>no</div><object>two</object><form><textarea>no</textarea></form></article>"
     assert [t for t, said in html_extract.blocks(page) if said == html_extract.OWN] == ["one", "two"]
