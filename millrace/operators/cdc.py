@@ -161,7 +161,8 @@ def survivors(changes: DataFrame, stored: DataFrame, spec: TableSpec) -> DataFra
     have = stored.select(F.col(spec.id_col).cast("string").alias("row_key"), F.lit(-1).cast("bigint").alias("offset"), F.lit(False).alias("gone"), *version(held), F.lit(True).alias("held"), F.lit(False).alias("placed"))
     placed = F.col("lsn").isNotNull() if spec.by_position else F.lit(False)
     rows = changes.select("row_key", F.col("offset").cast("bigint").alias("offset"), F.col("is_delete").alias("gone"), *version(F.col("version")), F.lit(False).alias("held"), placed.alias("placed"))
-    rows = rows.union(have.join(keys, "row_key", "left_semi")).repartition("row_key").sortWithinPartitions("row_key", F.desc("held"), "offset")
+    # dealt by a value that neither side is dealt by: by row_key itself Spark may take the union for dealt already and then read its sides in unlike parts
+    rows = rows.union(have.join(keys, "row_key", "left_semi")).repartition(F.xxhash64("row_key")).sortWithinPartitions("row_key", F.desc("held"), "offset")
     versioned = spec.version_col is not None
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
