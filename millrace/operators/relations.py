@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -66,21 +67,37 @@ def in_sync(key: str, columns: list[str], source: DataFrame, replica: DataFrame)
 
 
 def ancestry(df: DataFrame, key: str, parent: str, name: str) -> DataFrame:
-    """df(key, parent, name) with parent_name, root and depth of each row of a forest, level by level.
+    """df(key, parent, name) with parent_name, root and depth of each row of a forest; a row for each chain of rows from it to a root.
 
-    Each round joins the level before to its children, so there are as many rounds as levels; rows of a cycle, or below a
-    parent that isn't there, belong to no tree and have no root and depth.
+    Each round joins what is known of a row's chain to what is known from its end on, so chains double and there are as many
+    rounds as the depth has binary digits; rows of a cycle, or below a parent that isn't there, belong to no tree and have
+    no root and depth. What a round finds is written and read: plans that go on from round to round carry constraints that
+    double with each.
     """
-    shared_folder(df.sparkSession)
+    path = f"{shared_folder(df.sparkSession)}/ancestry-{uuid.uuid4().hex}"
     rows = df.select(key, F.col(parent).alias("_up"), name)
-    names = rows.select(F.col(key).alias("_key"), F.col(name).alias("parent_name"))
-    level = rows.where("_up is null").select(key, F.col(key).alias("root"), F.lit(0).alias("depth")).checkpoint()
-    done = level
-    while not level.isEmpty():
-        above = level.select(F.col(key).alias("_key"), "root", "depth")
-        level = rows.join(above, F.col("_up") == F.col("_key")).select(key, "root", (F.col("depth") + 1).alias("depth")).checkpoint()
-        done = done.union(level)
-    return rows.join(names, F.col("_up") == F.col("_key"), "left").drop("_key").join(done, key, "left").drop("_up")
+
+    def split(chains: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+        chains.write.parquet(f"{path}/{n}")
+        out = df.sparkSession.read.schema(chains.schema).parquet(f"{path}/{n}")
+        return out.where("_at is null"), out.where("_at is not null")
+
+    # the chain of a key's _n rows of one parent: its top so far, what stands above that (null at a root), its steps, and how many chains of rows it stands for
+    known = ["_key", "_up", "_n", "_top", "_at", "_steps"]
+    one = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key"), "_up").agg(F.count("*").cast("double").alias("_n"))
+    new, going = split(one.select("_key", "_up", "_n", F.col("_key").alias("_top"), F.col("_up").alias("_at"), F.lit(0).cast("bigint").alias("_steps"), F.lit(1.0).alias("_chains")), n := 0)
+    rooted = new
+    while not new.isEmpty():  # each round finds all levels up to twice the depth; where it finds none, none are deeper
+        above = rooted.union(going).select(F.col("_key").alias("_on"), F.struct("_top", "_at", "_steps", (F.col("_n") * F.col("_chains")).alias("_chains")).alias("_a"))
+        longer = going.join(above, F.col("_at") == F.col("_on")).select("_key", "_up", "_n", "_a._top", "_a._at", (F.col("_steps") + F.col("_a._steps") + 1).alias("_steps"), (F.col("_chains") * F.col("_a._chains")).alias("_chains"))
+        new, going = split(longer.groupBy(*known).agg(F.sum("_chains").alias("_chains")), n := n + 1)
+        rooted = rooted.union(new)
+    trees = rooted.select(F.col("_key").alias("_of"), F.col("_up").alias("_over"), "_top", "_steps", "_chains")
+    parents = rows.select(F.col(key).alias("_key"), F.col("_up").alias("_above"), F.col(name).alias("parent_name"))
+    parents = parents.join(trees, (F.col("_key") == F.col("_of")) & F.col("_above").eqNullSafe(F.col("_over")), "left").select("_key", "parent_name", "_top", "_steps", "_chains")
+    top = F.col("_up").isNull()
+    out = rows.join(parents, F.col("_up") == F.col("_key"), "left").withColumn("_each", F.explode(F.sequence(F.lit(1).cast("bigint"), F.coalesce(F.col("_chains").cast("bigint"), F.lit(1)))))
+    return out.select(key, name, "parent_name", F.when(top, F.col(key)).otherwise(F.col("_top")).alias("root"), F.when(top, 0).otherwise(F.col("_steps") + 1).cast("int").alias("depth"))
 
 
 def digest(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -305,8 +305,8 @@ def table_intersect(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("WITH RECURSIVE up AS (SELECT s_suppkey, s_name, CAST(NULL AS VARCHAR) AS parent, 0 AS depth, s_suppkey AS root FROM supplier WHERE s_suppkey <= 1 UNION ALL SELECT c.s_suppkey, c.s_name, u.s_name, u.depth + 1, u.root FROM supplier c JOIN up u ON c.s_suppkey > 1 AND c.s_suppkey // 2 = u.s_suppkey) SELECT s_suppkey, parent, CAST(depth AS INTEGER) AS depth, root FROM up")
 def sub_accounts(spark: SparkSession, sf: str) -> DataFrame:
-    s = t(spark, sf, "supplier").select("s_suppkey", "s_name", F.when(F.col("s_suppkey") > 1, F.floor(F.col("s_suppkey") / 2)).alias("up"))
-    return relations.ancestry(s, "s_suppkey", "up", "s_name").select("s_suppkey", F.col("parent_name").alias("parent"), "depth", "root")
+    s = t(spark, sf, "supplier").select("s_suppkey", "s_name", F.when(F.col("s_suppkey") > 1, F.expr("s_suppkey div 2")).alias("up"))
+    return relations.ancestry(s, "s_suppkey", "up", "s_name").where("root is not null").select("s_suppkey", F.col("parent_name").alias("parent"), "depth", "root")
 
 
 @query("SELECT l_orderkey, l_linenumber, p_name, s_name FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey")

@@ -1,9 +1,11 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
+from millrace import queries
 from millrace.functions import rates, text
 from millrace.operators import ledger, relations, schema, writes
 from millrace.plans.spec import TableSpec
@@ -99,6 +101,31 @@ def test_ancestry_with_a_cycle(spark):
     assert got == {1: (None, 1, 0), 2: ("a", 1, 1), 3: ("b", 1, 2), 4: ("e", None, None), 5: ("d", None, None), 6: (None, None, None)}
 
 
+def test_ancestry_of_a_deep_chain(spark):
+    df = spark.createDataFrame([(k, k - 1 if k else None, f"n{k}") for k in range(70)], "k long, up long, name string")
+    spark.sparkContext.setJobGroup("deep", "one job or more for each round")
+    out = relations.ancestry(df, "k", "up", "name")
+    spark.sparkContext.setJobGroup("", "")
+    assert {r.k: (r.parent_name, r.root, r.depth) for r in out.collect()} == {k: (f"n{k - 1}" if k else None, 0, k) for k in range(70)}
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("deep")) < 70
+
+
+def test_ancestry_has_a_row_for_each_chain(spark):
+    df = spark.createDataFrame([(1, None, "a"), (1, None, "A"), (2, 1, "b"), (3, 2, "c"), (3, 2, "C"), (3, 9, "x"), (4, 3, "d"), (8, 8, "h"), (8, 8, "H")], "k long, up long, name string")
+    above = {1: [], 2: ["a", "A"], 3: ["b", "b"], 4: ["c", "c", "C", "C"]}
+    want = [(k, name, up, 1, depth) for k, name, depth in ((2, "b", 1), (3, "c", 2), (3, "C", 2), (4, "d", 3)) for up in above[k]]
+    want += [(1, "a", None, 1, 0), (1, "A", None, 1, 0), (3, "x", None, None, None), (4, "d", "x", None, None), *[(8, a, b, None, None) for a in "hH" for b in "hH"]]
+    assert sorted(map(tuple, relations.ancestry(df, "k", "up", "name").collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_sub_accounts_as_the_sql(spark, tmp_path):
+    keys = [0, 1, 2, 3, 3, 6, 7, 12, 40, 80, None, -4, *[((1 << 60) - 1) >> i for i in range(60)]]
+    spark.createDataFrame([(k, f"s{i}") for i, k in enumerate(keys)], "s_suppkey long, s_name string").write.parquet(str(tmp_path / "supplier.parquet"))
+    want = duckdb.sql(queries.SQL["sub_accounts"].replace("FROM supplier", f"FROM '{tmp_path}/supplier.parquet/*.parquet'")).fetchall()
+    assert sorted(map(tuple, queries.sub_accounts(spark, str(tmp_path)).collect()), key=repr) == sorted(want, key=repr)
+    assert max(r[2] for r in want) == 59
+
+
 def test_in_sync(spark, items):
     assert tuple(relations.in_sync("id", ["n", "name"], items, items.repartition(3)).first()) == (3, 3, 0, 0, 0, True)
     other = spark.createDataFrame([(1, 5, "b"), (2, 7, None), (9, 1, "c")], items.schema)
