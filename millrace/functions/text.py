@@ -70,7 +70,8 @@ def strip_control(c: Column) -> Column:
 
 
 def split_list(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    """The items between commas, without spaces around them; empty ones are left out."""
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")  # F.trim itself would take an item's index as what to trim
 
 
 def snake(c: Column) -> Column:

@@ -153,6 +153,14 @@ def test_truncate_drops_only_invalid_bytes(spark):
     assert df.select(text.label(F.lit("a\x01b" + "é" * 100), 128)).first()[0] == "ab" + "é" * 63
 
 
+def test_split_list_as_the_sql(spark, tmp_path):
+    texts = ["0997 | x, 12", "4072374829496490", " first , second", "0", ",1,,2 ,", "a, ,b", "00,11,22", "\t tab\n,x", "\u00a0 , 1", "", " ", ",", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = duckdb.sql(queries.SQL["split_list"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    assert sorted(map(tuple, queries.split_list(spark, str(tmp_path)).collect())) == sorted(want)
+    assert spark.createDataFrame([(" 0a0, 1b1 ,,  2 ",)], "t string").select(text.split_list(F.col("t"))).first()[0] == ["0a0", "1b1", "2"]
+
+
 def test_unique_within_a_time(spark, tmp_path):
     """Streaming: of jobs with one key, the first within the time is kept; later ones are let through again by watermark."""
     rows_ = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:00:20"), ("b", "2024-01-01 00:00:30")]
